@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import decode_ids, encode_texts
 from .id_files import round_trip
 from .packing import pack_documents
+from .simhash import as_hex, near_duplicates
 from .token_counts import count_tokens
 
 
@@ -30,10 +31,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=4, words=4).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op7_simhash, op10_id_files)}
 ORACLES: dict[str, str] = {}
