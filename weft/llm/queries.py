@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .byte_bpe import decode_ids, encode_texts
 from .id_files import round_trip
 from .packing import pack_documents
@@ -31,6 +32,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def remainder(of: int):
+    """crc32 of doc_id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language_id.train(docs, learn=remainder(5) != 0)
+    return language_id.predict(docs, models).select("doc_id", (F.coalesce(remainder(5), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=remainder(4) != 2)
+    return toxicity.score(docs, machine, threshold=0.3).select("doc_id", (F.coalesce(remainder(4), F.lit(0)) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=4, words=4).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -40,5 +58,5 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op7_simhash, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op5_language_id, op7_simhash, op8_toxicity, op10_id_files)}
 ORACLES: dict[str, str] = {}
