@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .coder import UNSAFE, Memo, pieces_at_blanks
-from .shared import map_rows, text_or_empty
+from .coder import UNSAFE_OR_RUN, BatchCoder, split_at_blanks, sums, text_slices, with_blanks, without
+from .shared import binary, map_rows, text_or_empty
 
 NONE = np.iinfo(np.int64).max
 #: Pieces longer than this are encoded one at a time, so that a batch of trees stays small.
@@ -91,8 +91,8 @@ def encode_long(table: RankTable, piece: bytes) -> list[int]:
     return out
 
 
-def encode_batch(table: RankTable, pieces: list[bytes]) -> list[np.ndarray]:
-    """Pieces of 2 to BATCH_BYTES bytes, each in a row of its own: one merge a round for all rows that have any left.
+def encode_batch(table: RankTable, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each) of pieces of 2 to BATCH_BYTES bytes, each in a row of its own: one merge a round for all rows that have any left.
 
     A leaf holds rank * width + position of the pair that starts there, so the root is the leftmost pair of least rank.
     """
@@ -144,57 +144,65 @@ def encode_batch(table: RankTable, pieces: list[bytes]) -> list[np.ndarray]:
         has = left >= 0
         put(rows[has], left[has], pair(rows[has], left[has]))
         rows = rows[tree[rows, 1] != NONE]
-    out = ids[:, :size][live]
-    return np.split(out, np.cumsum(live.sum(1))[:-1])
+    return ids[:, :size][live], live.sum(1)
 
 
-class RankCoder:
-    """encode(texts) -> ids as little-endian unsigned 32-bit integers; decode(ids) -> bytes."""
+class RankCoder(BatchCoder):
+    """Ids of a rank file, each match of the pattern by itself. Ids of words are remembered, up to a number of words."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, entries: int = 300_000):
         import regex
 
-        self.table, self.pattern = RankTable(path), regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.pieces = Memo(lambda piece: b"".join(map(self.words.__getitem__, self.pattern.findall(piece))))
-
-    def learn(self, words: set[str]) -> None:
-        """Encode words that are not known yet, those of like length together."""
-        if len(self.words) > 500_000:
-            self.words.clear()
-        fresh = [w for w in words if w not in self.words]
-        sizes: dict[int, list[tuple[str, bytes]]] = {}
-        for word in fresh:
-            raw = word.encode()
+        self.table, self.findall, self.entries = RankTable(path), regex.compile(pattern).findall, entries
+        self.known: dict[str, bytes] = {}
+        super().__init__(lambda texts: without(texts, UNSAFE_OR_RUN), split_at_blanks, self.of_pieces, lambda text: self.of_words(self.findall(text))[0])
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        fresh = [w for w in set(words) if w not in self.known]
+        found = self.known
+        if fresh:
+            found = dict(zip(fresh, self.merge([w.encode() for w in fresh])))
+            if len(self.known) < self.entries:
+                self.known.update(found)
+                found = self.known
+            else:
+                found = self.known | found
+        values = list(map(found.__getitem__, words))
+        return np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), "int64", len(values)) // 4
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        sizes: dict[int, list[int]] = {}
+        for i, raw in enumerate(words):
             whole = self.table.rank.get(raw)
             if whole is not None:
-                self.words[word] = np.asarray([whole], "<u4").tobytes()
+                out[i] = whole.to_bytes(4, "little")
             elif len(raw) > BATCH_BYTES:
-                self.words[word] = np.asarray(encode_long(self.table, raw), "<u4").tobytes()
+                out[i] = np.asarray(encode_long(self.table, raw), "<u4").tobytes()
             else:
-                sizes.setdefault((len(raw) - 1).bit_length(), []).append((word, raw))
+                sizes.setdefault((len(raw) - 1).bit_length(), []).append(i)
         for rows in sizes.values():
             for at in range(0, len(rows), 20_000):
                 some = rows[at : at + 20_000]
-                for (word, _), ids in zip(some, encode_batch(self.table, [raw for _, raw in some])):
-                    self.words[word] = ids.astype("<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [(None if UNSAFE.search(t) else pieces_at_blanks(t)) or self.pattern.findall(t) for t in texts]
-        new = set().union(*cuts) - self.pieces.keys()
-        by_piece = {piece: self.pattern.findall(piece) for piece in new}
-        self.learn(set().union(*by_piece.values()))
-        if len(self.pieces) + len(new) > self.pieces.entries:
-            self.pieces.clear()
-            new = set().union(*cuts)
-            by_piece = {piece: self.pattern.findall(piece) for piece in new}
-            self.learn(set().union(*by_piece.values()))
-        known = self.words
-        self.pieces.update((piece, b"".join([known[w] for w in words])) for piece, words in by_piece.items())
-        return [b"".join(map(self.pieces.__getitem__, cut)) for cut in cuts]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                ids, count = encode_batch(self.table, [words[i] for i in some])
+                raw, end = ids.astype("<u4").tobytes(), 0
+                for i, n in zip(some, (4 * count).tolist()):
+                    out[i] = raw[end : end + n]
+                    end += n
+        return out
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces are cut to matches all at once, a line each, and new words go through the trees together."""
+        return with_blanks(pieces, self.of_lines, lambda blank: self.of_words(self.findall(blank))[0])
+
+    def of_lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not lines:
+            return np.zeros(0, "<u4"), np.zeros(0, "int64")
+        words = self.findall("\n".join(lines))
+        ends = np.asarray([i for i, w in enumerate(words) if w == "\n"] + [len(words)])
+        firsts = np.concatenate([[0], np.cumsum(np.diff(ends, prepend=-1) - 1)])
+        ids, count = self.of_words([w for w in words if w != "\n"])
+        return ids, sums(count, firsts)
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,12 +217,12 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "do
         coder = RankCoder(ranks, pattern)
 
         def each(part):
-            ids = coder.encode(part["text"].to_pylist())
-            return {"doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            ids, count = coder.encode(part["text"])
+            return {"doc_id": part["doc_id"], "n_tokens": count, "ids": binary(ids, count * 4)}
 
         return each
 
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, n_tokens long, ids binary")
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, n_tokens long, ids binary", text_slices)
 
 
 def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .coder import LibraryCoder
-from .shared import map_rows, new_path, remove, slices, stage, text_or_empty
+from .coder import LibraryCoder, text_slices
+from .shared import binary, map_rows, new_path, remove, slices, stage, text_or_empty
 
 MAGIC, DICTIONARY, HEAD = b"WVB1", b"WVD1", struct.Struct("<4sIIQQ")
 BLOCK_IDS = 1 << 18
@@ -73,11 +73,15 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str = "do
 
     def make():
         coder = LibraryCoder(tokenizer)
-        kind = np.dtype("<u2" if coder.library.get_vocab_size() <= 1 << 16 else "<u4")
-        coder.dtype, end = kind, np.asarray([end_id], kind).tobytes()
-        return lambda part: {"doc_id": part["doc_id"], "ids": [coder.encode(t) + end for t in part["text"].to_pylist()], "width": [kind.itemsize] * part.num_rows}
+        width = 2 if coder.library.get_vocab_size() <= 1 << 16 else 4
 
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, ids binary, width int")
+        def each(part):
+            ids, count = coder.encode(part["text"])
+            return {"doc_id": part["doc_id"], "ids": binary(np.insert(ids, np.cumsum(count), end_id).astype(f"<u{width}"), (count + 1) * width), "width": np.full(len(count), width)}
+
+        return each
+
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, ids binary, width int", text_slices)
 
 
 def id_frequencies(encoded: DataFrame) -> dict[int, int]:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .coder import split_words, sums, text_slices
 from .shared import map_rows, slices
 
 ORDER = 4
@@ -22,7 +23,7 @@ REJECT_MARGIN = 1.0
 #: Sharpness of the score: odds of two languages double for each 1 / SHARPNESS bits a character between them.
 SHARPNESS = 8.0
 DISCOUNT = 0.75
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UND = "und"
 
@@ -142,20 +143,18 @@ class Scorer:
         self.index: dict[str, int] = {}
         self.bits = np.zeros((0, len(self.models.langs) + 1))
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        words = [t.lower().split() for t in texts]
+    def score(self, texts: pa.Array) -> np.ndarray:
+        places, offsets, words = split_words(texts)
         if len(self.index) > self.entries:
             self.reset()
-        fresh = list(set().union(*words) - self.index.keys())
+        fresh = [w for w in words if w not in self.index]
         if fresh:
             rows = [np.zeros((0, len(self.models.langs)))] + [self.models.word_bits(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
             rows = np.column_stack([np.concatenate(rows), [len(w) + 1 for w in fresh]])
             self.index.update(zip(fresh, range(len(self.bits), len(self.bits) + len(fresh))))
             self.bits = np.concatenate([self.bits, rows])
-        out = np.zeros((len(texts), len(self.models.langs) + 1))
-        for i, w in enumerate(words):
-            if w:
-                out[i] = self.bits[np.fromiter(map(self.index.__getitem__, w), "int64", len(w))].sum(0)
+        rows = self.bits[np.fromiter(map(self.index.__getitem__, words), "int64", len(words))][places]
+        out = np.column_stack([sums(rows[:, j], offsets) for j in range(rows.shape[1])])
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
@@ -215,8 +214,8 @@ def predict(docs: DataFrame, models: CharModels | None, *, id_col: str = "doc_id
         scorer = Scorer(models) if models else None
 
         def each(part):
-            texts = [t or "" for t in part["text"].to_pylist()]
-            lettered = np.asarray([bool(scorer and LETTER.search(t)) for t in texts], bool)
+            texts = pc.fill_null(part["text"], "")
+            lettered = pc.match_substring_regex(texts, LETTER).to_numpy(zero_copy_only=False) & bool(scorer)
             bits = scorer.score(texts) if scorer else np.zeros((len(texts), 1))
             best = bits.argmin(1)
             low = bits[np.arange(len(texts)), best]
@@ -233,4 +232,4 @@ def predict(docs: DataFrame, models: CharModels | None, *, id_col: str = "doc_id
 
         return each
 
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, schema)
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, schema, text_slices)

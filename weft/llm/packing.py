@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .coder import LibraryCoder
-from .shared import map_rows, stage, text_or_empty
+from .coder import LibraryCoder, text_slices
+from .shared import binary, map_rows, stage, text_or_empty
 
 #: Pieces that one bucket of a length holds at most, about; bounds what one task ranks.
 BUCKET_ROWS = 50_000
@@ -21,25 +21,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_i
 
     doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens. Null texts count as empty: one piece with end_id alone.
     """
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def make():
         coder = LibraryCoder(tokenizer)
 
         def each(part):
-            out = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens")}
-            for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                ids = coder.encode(text) + end
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    size = min(capacity, n - at)
-                    for k, v in zip(out, (doc, at, size, ids[4 * at : 4 * (at + size)], n)):
-                        out[k].append(v)
-            return out
+            ids, count = coder.encode(part["text"])
+            ids = np.insert(ids, np.cumsum(count), end_id)
+            count = count + 1
+            pieces = -(-count // capacity)
+            doc = np.repeat(np.arange(len(count)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            length = np.minimum(capacity, count[doc] - start)
+            return {"doc_id": part["doc_id"].take(pa.array(doc)), "start": start, "length": length, "ids": binary(ids, length * 4), "doc_tokens": count[doc]}
 
         return each
 
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, start long, length long, ids binary, doc_tokens long", text_slices)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

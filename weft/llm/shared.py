@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given numbers of bytes that lie one after the other in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    wide = offsets[-1] >= 1 << 31
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype("int64" if wide else "int32")), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, cut: Callable = slices) -> DataFrame:
     """mapInArrow over slices. make() builds a function on the executor, once a task: slice -> dict of output columns."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,7 +74,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 
     def run(batches):
         each = make()
-        for part in slices(batches):
+        for part in cut(batches):
             out = each(part)
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in target], schema=target)
 

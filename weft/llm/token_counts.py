@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .coder import LibraryCounter
+from .coder import LibraryCoder, text_slices
 from .shared import map_rows, new_path, path_exists, text_or_empty
 
 BLANKS, UPPER = "\t\n\r\f\v", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,9 +56,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     misses = wanted.groupBy("digest").agg(F.any_value("text").alias("text"))
 
     def make():
-        coder = LibraryCounter(tokenizer)
-        return lambda part: {"digest": part["digest"], "n_tokens": [coder.count(t) for t in part["text"].to_pylist()]}
+        coder = LibraryCoder(tokenizer)
+        return lambda part: {"digest": part["digest"], "n_tokens": coder.count(part["text"])}
 
-    fresh = map_rows(misses, make, "digest binary, n_tokens long").select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
+    fresh = map_rows(misses, make, "digest binary, n_tokens long", text_slices).select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
     fresh.write.mode("append").option("compression", "zstd").parquet(cache)
     return rows.join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))

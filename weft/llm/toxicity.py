@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .coder import Memo
+from .coder import Memo, split_words, text_slices
 from .shared import map_rows, slices
 
 BUCKETS = 1 << 22
@@ -131,12 +132,18 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
 
     def make():
         index = machine.index if machine else {}
-        memo = Memo(lambda word: frozenset(index[t] for t in terms(word) if t in index))
+        memo = Memo(lambda word: tuple(index[t] for t in terms(word) if t in index))
 
         def each(part):
-            out = [machine.score(set().union(*set(map(memo.__getitem__, set((t or "").lower().split()))))) if machine else 0.0 for t in part["text"].to_pylist()]
+            places, offsets, words = split_words(pc.fill_null(part["text"], ""))
+            known = list(map(memo.__getitem__, words))
+            hits = np.nonzero(np.fromiter(map(bool, known), bool, len(known))[places])[0]
+            present: list[set[int]] = [set() for _ in range(part.num_rows)]
+            for doc, place in zip((np.searchsorted(offsets, hits, side="right") - 1).tolist(), places[hits].tolist()):
+                present[doc].update(known[place])
+            out = [machine.score(x) if machine else 0.0 for x in present]
             return {"doc_id": part["doc_id"], "score": out, "predicted": [int(s >= threshold) for s in out]}
 
         return each
 
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, "doc_id long, score double, predicted int")
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, "doc_id long, score double, predicted int", text_slices)
