@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import chat_format, language_id, toxicity
 from .byte_bpe import decode_ids, encode_texts
 from .id_files import round_trip
 from .packing import pack_documents
@@ -49,6 +49,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine, threshold=0.3).select("doc_id", (F.coalesce(remainder(4), F.lit(0)) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    read = chat_format.format_conversations(rows)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=4, words=4).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -58,5 +67,27 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op5_language_id, op7_simhash, op8_toxicity, op10_id_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op5_language_id, op6_chat_format, op7_simhash, op8_toxicity, op10_id_files)}
+#: Escaped lengths: a backslash goes before every backslash and into every control string.
+OP6_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+        length(text) + length(text) - length(replace(text, chr(92), ''))
+            + (length(text) - length(replace(text, '<s>', ''))) / 3 + (length(text) - length(replace(text, '</s>', ''))) / 4
+            + (length(text) - length(replace(text, '[INST]', ''))) / 6 + (length(text) - length(replace(text, '[/INST]', ''))) / 7
+            + length(role) + 9 + 7 + 4 AS chars
+    FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL}
