@@ -37,4 +37,4 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             remove(now.sparkSession, old)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, language_id, toxicity
 from .byte_bpe import decode_ids, encode_texts
+from .embedding_dedup import near_duplicates as near_vectors
 from .id_files import round_trip
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
@@ -37,6 +38,10 @@ def remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.train(docs, learn=remainder(5) != 0)
@@ -67,7 +72,7 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op5_language_id, op6_chat_format, op7_simhash, op8_toxicity, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_chat_format, op7_simhash, op8_toxicity, op10_id_files)}
 #: Escaped lengths: a backslash goes before every backslash and into every control string.
 OP6_SQL = r"""
 WITH rows AS (
