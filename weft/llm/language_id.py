@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coder import split_words, sums, text_slices
-from .shared import map_rows, slices
+from .shared import keep_rows, map_rows, slices
 
 ORDER = 4
 #: Documents of each language that the model learns from, and that rejection is calibrated on (expected size of a hash sample).
@@ -211,25 +211,40 @@ def predict(docs: DataFrame, models: CharModels | None, *, id_col: str = "doc_id
     schema = "doc_id long, lang_pred string, score double, bits double, rejected boolean"
 
     def make():
-        scorer = Scorer(models) if models else None
-
-        def each(part):
-            texts = pc.fill_null(part["text"], "")
-            lettered = pc.match_substring_regex(texts, LETTER).to_numpy(zero_copy_only=False) & bool(scorer)
-            bits = scorer.score(texts) if scorer else np.zeros((len(texts), 1))
-            best = bits.argmin(1)
-            low = bits[np.arange(len(texts)), best]
-            odds = np.exp2(-SHARPNESS * (bits - low[:, None])).sum(1)
-            limit = models.limits[best] if scorer and models.limits is not None else np.full(len(texts), np.inf)
-            langs = models.langs if scorer else [UND]
-            return {
-                "doc_id": part["doc_id"],
-                "lang_pred": [langs[b] if ok else UND for b, ok in zip(best, lettered)],
-                "score": np.where(lettered, 1 / odds, 0.0),
-                "bits": np.where(lettered, low, 0.0),
-                "rejected": ~lettered | (low > limit),
-            }
-
-        return each
+        each = predictor(models)
+        return lambda part: {"doc_id": part["doc_id"], **each(part["text"])}
 
     return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, schema, text_slices)
+
+
+def keep_accepted(docs: DataFrame, models: CharModels | None, *, text_col: str = "text") -> DataFrame:
+    """The documents that predict does not reject; all of them if nothing was learned, but for texts without a letter."""
+
+    def make():
+        each = predictor(models)
+        return lambda texts: ~each(texts)["rejected"] if models else pc.match_substring_regex(pc.fill_null(texts, ""), LETTER).to_numpy(zero_copy_only=False)
+
+    return keep_rows(docs, make, text_slices, text_col)
+
+
+def predictor(models: CharModels | None):
+    """Function of texts (Arrow) to the columns of predict but doc_id."""
+    scorer = Scorer(models) if models else None
+
+    def each(found):
+        texts = pc.fill_null(found, "")
+        lettered = pc.match_substring_regex(texts, LETTER).to_numpy(zero_copy_only=False) & bool(scorer)
+        bits = scorer.score(texts) if scorer else np.zeros((len(texts), 1))
+        best = bits.argmin(1)
+        low = bits[np.arange(len(texts)), best]
+        odds = np.exp2(-SHARPNESS * (bits - low[:, None])).sum(1)
+        limit = models.limits[best] if scorer and models.limits is not None else np.full(len(texts), np.inf)
+        langs = models.langs if scorer else [UND]
+        return {
+            "lang_pred": [langs[b] if ok else UND for b, ok in zip(best, lettered)],
+            "score": np.where(lettered, 1 / odds, 0.0),
+            "bits": np.where(lettered, low, 0.0),
+            "rejected": ~lettered | (low > limit),
+        }
+
+    return each

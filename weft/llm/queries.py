@@ -10,6 +10,7 @@ from . import chat_format, language_id, toxicity
 from .byte_bpe import decode_ids, encode_texts
 from .embedding_dedup import near_duplicates as near_vectors
 from .id_files import round_trip
+from .media_jpeg import decode_media, store_texts
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
 from .token_counts import count_tokens
@@ -67,12 +68,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=4, words=4).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_texts(table(spark, sf_dir, "documents"))
+    form = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read = decode_media(form, with_tensor=False)
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_chat_format, op7_simhash, op8_toxicity, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_chat_format, op7_simhash, op8_toxicity, op9_media_jpeg, op10_id_files)}
 #: Escaped lengths: a backslash goes before every backslash and into every control string.
 OP6_SQL = r"""
 WITH rows AS (

@@ -65,6 +65,17 @@ def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype("int64" if wide else "int32")), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]], cut: Callable, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text make()'s function keeps, all columns as they are; nothing is shuffled."""
+
+    def run(batches):
+        keep = make()
+        for part in cut(batches, text_col):
+            yield part.filter(pa.array(keep(part[text_col])))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, cut: Callable = slices) -> DataFrame:
     """mapInArrow over slices. make() builds a function on the executor, once a task: slice -> dict of output columns."""
     from pyspark.sql.types import StructType

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -173,5 +173,13 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE
     return found.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_firsts(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of smallest id of each group of near duplicates, once; all columns as they are."""
+    firsts = near_duplicates(docs, threshold=threshold, words=words, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    one = Window.partitionBy(id_col).orderBy(id_col)
+    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi").withColumn("_copy", F.row_number().over(one))
+    return kept.where("_copy = 1").drop("_copy")
+
+
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

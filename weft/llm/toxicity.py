@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coder import Memo, split_words, text_slices
-from .shared import map_rows, slices
+from .shared import keep_rows, map_rows, slices
 
 BUCKETS = 1 << 22
 #: Labelled rows of each class that the model learns from (expected size of a hash sample).
@@ -131,19 +131,41 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) of each whole text; null and empty texts get the score of no terms."""
 
     def make():
-        index = machine.index if machine else {}
-        memo = Memo(lambda word: tuple(index[t] for t in terms(word) if t in index))
+        each = scorer(machine)
 
-        def each(part):
-            places, offsets, words = split_words(pc.fill_null(part["text"], ""))
-            known = list(map(memo.__getitem__, words))
-            hits = np.nonzero(np.fromiter(map(bool, known), bool, len(known))[places])[0]
-            present: list[set[int]] = [set() for _ in range(part.num_rows)]
-            for doc, place in zip((np.searchsorted(offsets, hits, side="right") - 1).tolist(), places[hits].tolist()):
-                present[doc].update(known[place])
-            out = [machine.score(x) if machine else 0.0 for x in present]
-            return {"doc_id": part["doc_id"], "score": out, "predicted": [int(s >= threshold) for s in out]}
+        def columns(part):
+            out = each(part["text"])
+            return {"doc_id": part["doc_id"], "score": out, "predicted": (out >= threshold).astype("int32")}
 
-        return each
+        return columns
 
     return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, "doc_id long, score double, predicted int", text_slices)
+
+
+def keep_clean(docs: DataFrame, machine: Machine | None, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents whose score is below threshold."""
+
+    def make():
+        each = scorer(machine)
+        return lambda texts: each(texts) < threshold
+
+    return keep_rows(docs, make, text_slices, text_col)
+
+
+def scorer(machine: Machine | None):
+    """Function of texts (Arrow) to scores; without a machine 0."""
+    index = machine.index if machine else {}
+    memo = Memo(lambda word: tuple(index[t] for t in terms(word) if t in index))
+
+    def each(texts: pa.Array) -> np.ndarray:
+        if not machine:
+            return np.zeros(len(texts))
+        places, offsets, words = split_words(pc.fill_null(texts, ""))
+        known = list(map(memo.__getitem__, words))
+        hits = np.nonzero(np.fromiter(map(bool, known), bool, len(known))[places])[0]
+        present: list[set[int]] = [set() for _ in range(len(texts))]
+        for doc, place in zip((np.searchsorted(offsets, hits, side="right") - 1).tolist(), places[hits].tolist()):
+            present[doc].update(known[place])
+        return np.asarray([machine.score(x) for x in present])
+
+    return each
