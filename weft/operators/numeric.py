@@ -214,38 +214,54 @@ SEGMENT_WIDE = 32
 def split_byrange(df: DataFrame, value: str, by: list[str], ord_col: str, width: int = 4) -> DataFrame:
     """(by, segment, first_ord, last_ord, low, high): where neighbouring stretches of a chunk take up separate value ranges.
 
-    Rows are reduced to minimum and maximum of blocks first; a chunk's blocks are then walked once. A boundary lies between
-    two blocks whose ranges do not meet if the gap is over twice the usual amplitude around it, or if both sides are level.
+    A chunk, which bounds the task, is reduced to the ranges of blocks of half the least segment, and those are walked once.
+    A boundary lies between blocks whose ranges do not meet if the gap is over twice the usual amplitude around it, or if
+    both sides are level. A block that reaches over a boundary is cut where its rows change sides.
     """
     least = SEGMENT_LEAST.get(width, SEGMENT_WIDE)
     block = least // 2
-    stats = df.withColumn("_block", F.floor(F.col(ord_col) / block)).groupBy(*by, "_block").agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.min(ord_col).alias("first"), F.max(ord_col).alias("last"))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_block")
-        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
-        first, last = rows["first"].to_numpy(), rows["last"].to_numpy()
-        starts = [0]
-        for i in range(1, len(rows)):
-            gap = max(low[i] - high[i - 1], low[i - 1] - high[i])
-            if gap <= 0 or i - starts[-1] < 2:
-                continue
-            left, right = slice(max(starts[-1], i - COMPARED), i), slice(i, min(len(rows), i + COMPARED))
-            usual = float(np.median(np.concatenate([(high - low)[left], (high - low)[right]])))
+        rows = rows.sort_values(ord_col)
+        x, place = rows[value].to_numpy("float64"), rows[ord_col].to_numpy("int64")
+        firsts = np.arange(0, len(x), block)
+        low, high = np.minimum.reduceat(x, firsts), np.maximum.reduceat(x, firsts)
+        width_of = high - low
+        cuts = [0]
+
+        def apart(i: int, j: int) -> bool:
+            """Whether block i, the last of one side, and block j, the first of the other, are in separate ranges."""
+            gap = max(low[j] - high[i], low[i] - high[j])
+            if gap <= 0:
+                return False
+            left, right = slice(max(0, i + 1 - COMPARED), i + 1), slice(j, j + COMPARED)
+            usual = float(np.median(np.concatenate([width_of[left], width_of[right]])))
 
             def level(s: slice) -> bool:
-                return (high[s].max() - low[s].min()) <= LEVEL * max(1.0, float((high - low)[s].max()))
-
-            if usual == 0 or gap > 2 * usual or (level(left) and level(right)):
-                starts.append(i)
-        ends = [*starts[1:], len(rows)]
-        out = pd.DataFrame({"segment": np.arange(len(starts)), "first_ord": first[starts], "last_ord": [last[e - 1] for e in ends], "low": [low[s:e].min() for s, e in zip(starts, ends)], "high": [high[s:e].max() for s, e in zip(starts, ends)]})
-        for c in by:
+                return high[s].max() - low[s].min() <= LEVEL * max(1.0, float(width_of[s].max()))
+
+            return usual == 0 or gap > 2 * usual or (level(left) and level(right))
+
+        i = 1
+        while i < len(firsts):
+            if firsts[i] - cuts[-1] >= least and apart(i - 1, i):
+                cuts.append(int(firsts[i]))
+            elif i + 1 < len(firsts) and firsts[i] - cuts[-1] >= least - block and apart(i - 1, i + 1) and low[i] <= max(low[i - 1], low[i + 1]) and high[i] >= min(high[i - 1], high[i + 1]):
+                middle = (max(low[i - 1], low[i + 1]) + min(high[i - 1], high[i + 1])) / 2
+                own = x[firsts[i] : firsts[i + 1]]
+                there = own > middle if low[i + 1] > high[i - 1] else own < middle
+                stay = np.nonzero(~there)[0]
+                cuts.append(int(firsts[i] + (stay[-1] + 1 if len(stay) else 0)))
+                i += 1
+            i += 1
+        ends = [*cuts[1:], len(x)]
+        out = pd.DataFrame({"segment": np.arange(len(cuts)), "first_ord": place[cuts], "last_ord": [place[e - 1] for e in ends], "low": [x[s:e].min() for s, e in zip(cuts, ends)], "high": [x[s:e].max() for s, e in zip(cuts, ends)]})
+        for c in reversed(by):
             out.insert(0, c, rows[c].iloc[0])
-        return out[[*by, "segment", "first_ord", "last_ord", "low", "high"]]
+        return out
 
-    return stats.groupBy(*by).applyInPandas(walk, keys + ", segment long, first_ord long, last_ord long, low double, high double")
+    return df.select(*by, ord_col, value).groupBy(*by).applyInPandas(walk, keys + ", segment long, first_ord long, last_ord long, low double, high double")
 
 
 def dedup(df: DataFrame, columns: list[str], out: str, trusted: bool = False) -> DataFrame:
