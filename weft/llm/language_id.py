@@ -38,7 +38,7 @@ def gram_hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         weight = np.uint64(1)
         for k in range(order):
-            shifted = np.concatenate([np.zeros(k, "u8"), chars[: len(chars) - k]]) + np.uint64(1)
+            shifted = np.concatenate([np.zeros(min(k, len(chars)), "u8"), chars[: max(0, len(chars) - k)]]) + np.uint64(1)
             weight = weight * MIX
             h = h + shifted * weight * (shifted + np.uint64(k + 1) * MIX)
             x = h ^ (h >> np.uint64(29))
