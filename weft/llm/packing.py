@@ -104,7 +104,7 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, keys: tuple[str, ...] = ("d
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     slots = slots_of(pack_histogram(histogram, capacity))
     earlier = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    ranked = hashed.join(earlier, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*keys)) - 1)
+    ranked = hashed.join(earlier.hint("merge"), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*keys)) - 1)
     kept = [c for c in pieces.columns]
     wide = 1 << 40  # above any rank
     start = slots["length"] * wide + slots["rank"]
