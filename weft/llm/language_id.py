@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -28,6 +29,15 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 UND = "und"
 
 
+RUNS = re.compile(r"[^\W\d_]+")
+DIGIT = re.compile(r"\d")
+
+
+def letter_runs(word: str) -> list[str]:
+    """What is scored of a lower-cased word: its runs of letters; nothing of numbers, keys and addresses, which hold digits."""
+    return [word] if word.isalpha() else [] if DIGIT.search(word) else RUNS.findall(word)
+
+
 def padded(word: str) -> str:
     return f" {word} "
 
@@ -85,9 +95,10 @@ class CharModels:
 
 def count_grams(word: str, n: int, into: Counter) -> None:
     """Grams of the full order, and shorter ones at the start of the word, which have no longer history."""
-    text = padded(word)
-    for i in range(1, len(text)):
-        into[text[max(0, i - ORDER + 1) : i + 1]] += n
+    for run in letter_runs(word):
+        text = padded(run)
+        for i in range(1, len(text)):
+            into[text[max(0, i - ORDER + 1) : i + 1]] += n
 
 
 def fit_models(counts: Iterable[tuple[str, str, int]]) -> CharModels:
@@ -149,14 +160,23 @@ class Scorer:
             self.reset()
         fresh = [w for w in words if w not in self.index]
         if fresh:
-            rows = [np.zeros((0, len(self.models.langs)))] + [self.models.word_bits(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
-            rows = np.column_stack([np.concatenate(rows), [len(w) + 1 for w in fresh]])
+            rows = [np.zeros((0, self.bits.shape[1]))] + [self.rows(list(map(letter_runs, fresh[i : i + 20_000]))) for i in range(0, len(fresh), 20_000)]
             self.index.update(zip(fresh, range(len(self.bits), len(self.bits) + len(fresh))))
-            self.bits = np.concatenate([self.bits, rows])
+            self.bits = np.concatenate([self.bits, *rows])
         rows = self.bits[np.fromiter(map(self.index.__getitem__, words), "int64", len(words))][places]
         out = np.column_stack([sums(rows[:, j], offsets) for j in range(rows.shape[1])])
+        bare = np.nonzero(out[:, -1] == 0)[0]  # all letters stand beside digits
+        if len(bare):
+            out[bare] = self.rows([RUNS.findall(texts[i].as_py().lower()) for i in bare.tolist()])
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
+    def rows(self, runs: list[list[str]]) -> np.ndarray:
+        """Bits under each language and characters of the runs of each word."""
+        flat = [r for some in runs for r in some]
+        bits = np.column_stack([self.models.word_bits(flat), [len(r) + 1 for r in flat]]) if flat else np.zeros((0, len(self.models.langs) + 1))
+        ends = np.cumsum([len(some) for some in runs])
+        return np.column_stack([sums(bits[:, j], np.concatenate([[0], ends])) for j in range(bits.shape[1])])
+
 
 def sampled(docs: DataFrame, key: Column, group: Column, size: int, salt: str) -> DataFrame:
     """About `size` rows of each group by a hash of key: a fixed choice that needs no sort and no shuffle of texts."""
