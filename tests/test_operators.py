@@ -177,3 +177,36 @@ def test_boosted(spark):
     model = route.fit_stumps([([float(i)], "low" if i < 5 else "high") for i in range(10)], ["low", "high"], ["x"])
     got = spark.createDataFrame([(float(i),) for i in range(10)], "x double").select("x", model.choose().alias("c")).collect()
     assert all(r.c == ("low" if r.x < 5 else "high") for r in got)
+
+
+def test_numbered(spark):
+    from weft.spec import numbered
+
+    rows = numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"]).collect()
+    assert all(r.ord == r.k for r in rows) and len(rows) == 1000
+
+
+def test_zip_and_shred(spark):
+    import io
+    import zipfile
+
+    from weft.sources import archive
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a/b.txt", b"hello")
+        z.writestr("c", b"")
+    rows = spark.createDataFrame([("p", bytearray(held.getvalue()))], "path string, content binary")
+    assert {(r.member, bytes(r.content)) for r in archive.zip_members(rows).collect()} == {("a/b.txt", b"hello"), ("c", b"")}
+    nested = spark.sql("SELECT 1 AS k, named_struct('xs', array(array(1, 2), array()), 'm', map('a', 5)) AS v")
+    streams = archive.shred(nested, "v", ["k"])
+    assert [tuple(r) for r in streams["v.xs[][]"].orderBy("pos1").collect()] == [(1, 0, 0, 1), (1, 0, 1, 2)]
+    assert [r.length for r in streams["v.xs[]#"].orderBy("pos0").collect()] == [2, 0] and streams["v.m{value}"].first()["value"] == 5
+
+
+def test_coerce():
+    from weft.spec import StreamSpec, coerce
+
+    assert coerce(StreamSpec("x", "numeric", 4), {"serial", "struct"}) == ["numeric", "struct"]
+    with pytest.raises(ValueError):
+        coerce(StreamSpec("x", "string"), {"numeric"})

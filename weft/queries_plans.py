@@ -208,3 +208,59 @@ def stream_chunk_delta(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     encode_stream(stream.select("event_id", "user_id"), p, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return plan.decode(spark.read.parquet(f"{path}/out"), p).select("event_id", "user_id")
+
+
+@query(f"""
+WITH l AS ({CSV}), b AS (SELECT o_orderkey, o_orderkey // {CHUNK} AS stretch, strlen(line) + 1 AS b FROM l),
+p AS (SELECT *, (sum(b) OVER (PARTITION BY stretch ORDER BY o_orderkey) - b) // 2000 AS part FROM b)
+SELECT stretch, part::BIGINT AS part, min(o_orderkey) AS first, max(o_orderkey) AS last, sum(b)::BIGINT AS bytes FROM p GROUP BY 1, 2
+""")
+def csv_segment_rows(spark, sf_dir):
+    return text.csv_segments(csv_lines(spark, sf_dir), "line", "o_orderkey", CHUNK, 2000)
+
+
+PAIR_COLUMNS = ["o_orderkey", "o_custkey"]
+
+
+@query("SELECT 'o_orderkey' AS a, 'o_custkey' AS b, round(p::DOUBLE / (x + y), 6) AS gain FROM (SELECT count(DISTINCT (o_orderkey, o_custkey)) AS p, count(DISTINCT o_orderkey) AS x, count(DISTINCT o_custkey) AS y FROM orders)")
+def cluster_cost_pairs(spark, sf_dir):
+    """Cost of a pair of columns together as a share of their costs apart, by distinct values."""
+    rows = orders(spark, sf_dir)
+    singles = stats.cardinality(rows, PAIR_COLUMNS, exact=True)
+    pair = stats.cardinality(rows.select(F.struct(*PAIR_COLUMNS).alias("pair")), ["pair"], exact=True).select(F.col("cardinality").alias("p"))
+    cost = singles.groupBy().agg(F.max(F.when(F.col("stream") == "o_orderkey", F.col("cardinality"))).alias("x"), F.max(F.when(F.col("stream") == "o_custkey", F.col("cardinality"))).alias("y"))
+    return cost.crossJoin(pair).select(F.lit("o_orderkey").alias("a"), F.lit("o_custkey").alias("b"), F.round(route.gain(F.col("p"), F.col("x"), F.col("y")), 6).alias("gain"))
+
+
+@query()
+def greedy_cluster_search(spark, sf_dir):
+    """Columns grouped by what their pairs save in zstd bytes of their chunks, measured in one pass."""
+    names = ["l_partkey", "l_suppkey", "l_linenumber"]
+    rows = lines(spark, sf_dir)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+    def size(columns: list[str]) -> int:
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*keys))), lambda r: F.concat_ws(",", *[r[c].cast("string") for c in columns])), "\n")
+        packed = rows.groupBy("chunk_id").agg(F.encode(whole, "UTF-8").alias("content"))
+        return int(packed.agg(F.sum(F.octet_length(payload.compress(F.col("content"))))).first()[0])
+
+    single = {c: size([c]) for c in names}
+    pair = {(a, b): size([a, b]) for i, a in enumerate(names) for b in names[i + 1 :]}
+    groups = search.greedy_clusters(single, pair)
+    return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "cluster int, stream string")
+
+
+@query()
+def bitsplit_bf16(spark, sf_dir):
+    from .operators import bits
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    fraction, exponent, sign = bits.split_float(bits.float_bits(F.col("x"), "bf16"), "bf16")
+    return rows.select("vec_id", "pos", fraction.alias("fraction"), exponent.alias("exponent"), sign.alias("sign"))
+
+
+@query()
+def lz4_bytes(spark, sf_dir):
+    parts = payload.chunk_bytes(orders(spark, sf_dir), "o_custkey", ["chunk_id"], ["o_orderkey"], 4).withColumn("z", payload.compress(F.col("content"), "lz4_raw"))
+    same = payload.decompress(F.col("z"), F.octet_length("content"), "lz4_raw") == F.col("content")
+    return parts.select("chunk_id", F.octet_length("content").alias("raw_bytes"), F.octet_length("z").alias("lz4_bytes"), same.alias("same"))
