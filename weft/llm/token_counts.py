@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coder import LibraryCoder, text_slices
-from .shared import map_rows, new_path, path_exists, text_or_empty
+from .shared import map_rows, new_path, path_exists, stage, text_or_empty
 
 BLANKS, UPPER = "\t\n\r\f\v", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,4 +61,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     fresh = map_rows(misses, make, "digest binary, n_tokens long", text_slices).select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
     fresh.write.mode("append").option("compression", "zstd").parquet(cache)
-    return rows.join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
+    # staged, so that both sides of the join are plain exchanges: Spark splits a digest that many documents share
+    return rows.join(stage(known(), "token-counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
