@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .coder import LibraryCoder, text_slices
 from .shared import binary, map_rows, new_path, remove, slices, stage, text_or_empty
 
-MAGIC, DICTIONARY, HEAD = b"WVB1", b"WVD1", struct.Struct("<4sIIQQ")
+MAGIC, DICTIONARY, HEAD = b"WVB1", b"WVD1", "<4sIIQQ"
 BLOCK_IDS = 1 << 18
 #: Code bytes (1 to 4) of the four codes that a control byte describes.
 LENGTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)
@@ -42,16 +42,16 @@ def write_block(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, code_of
     padded = np.zeros(-(-len(ids) // 4) * 4, "u1")
     padded[: len(ids)] = size - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], "u1")).sum(1).astype("u1")
-    head = HEAD.pack(MAGIC, len(doc_ids), zlib.crc32(dictionary), len(ids), len(data))
+    head = struct.pack(HEAD, MAGIC, len(doc_ids), zlib.crc32(dictionary), len(ids), len(data))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
 def read_block(body: bytes, dictionary: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, ids in each, all ids) of a block file."""
-    magic, docs, crc, n, size = HEAD.unpack_from(body)
+    magic, docs, crc, n, size = struct.unpack_from(HEAD, body)
     if magic != MAGIC or dictionary[:4] != DICTIONARY or crc != zlib.crc32(dictionary):
         raise ValueError("not a block file, or of another dictionary")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
 
     def take(count: int, kind: str) -> np.ndarray:
         nonlocal at
