@@ -238,6 +238,46 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_beyond_every_window(spark):
+    """Lone pairs just above the threshold in a large label, which passes and windows bring together only by chance."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(300, 64))
+    other -= (other * base[:300]).sum(1, keepdims=True) * base[:300]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9305, 0.94, size=(300, 1))
+    rows = np.concatenate([base, cosine * base[:300] + np.sqrt(1 - cosine**2) * other])
+    near = rows @ rows.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near[:300].any(1).all()
+    comp = components_of(len(rows), list(zip(*map(np.ndarray.tolist, np.nonzero(np.tril(near))))))
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, passes=1, window=4).collect()}
+    assert [out[i].n_links for i in range(len(rows))] == near.sum(1).tolist()
+    assert [out[i].component_id for i in range(len(rows))] == comp
+    assert [i for i in range(len(rows)) if not out[i].kept] == [i for i, c in enumerate(comp) if c != i]
+
+
+@pytest.mark.parametrize("size", [3, 64])
+def test_embeddings_at_the_threshold(size):
+    """Blocks decide by double precision, also where single precision cannot tell; spanning pairs join what near pairs join."""
+    rng = np.random.default_rng(size)
+    u = rng.normal(size=(200, size))
+    v = np.concatenate([u[:100] + rng.normal(size=(100, size)) * 0.3, u])
+    u, v = embedding_dedup.unit(u), embedding_dedup.unit(v)
+    exact = np.einsum("id,jd->ij", u, v)
+    for threshold in (0.93, float(np.einsum("i,i", u[3], v[3])), float(np.nextafter(np.einsum("ij,ij->i", u[3:4], v[3:4])[0], 2))):
+        near = embedding_dedup.near_block(u, v, threshold)
+        clear = abs(exact - threshold) > 1e-12
+        assert (near == (exact >= threshold))[clear].all()
+        assert near[3, 3] == (np.einsum("ij,ij->i", u[3:4], v[3:4])[0] >= threshold)
+        a, b = embedding_dedup.spanning(near)
+        assert len(a) <= sum(near.shape)
+        pairs = [(i, len(u) + j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)))]
+        assert components_of(sum(near.shape), pairs) == components_of(sum(near.shape), list(zip(a.tolist(), b.tolist())))
+
+
 def test_language(spark):
     vocab = {"en": "the and ing tion with from".split(), "de": "und der schaft keit über für".split(), "fr": "le que être eaux ment où".split()}
     rng = random.Random(2)

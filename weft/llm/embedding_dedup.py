@@ -1,10 +1,11 @@
-"""Near-duplicate embeddings: sorted projection passes with bounded windows, components, exact link counts.
+"""Near-duplicate embeddings: sorted projection passes with bounded windows, all pairs of a label by tiles, components.
 
 In each pass vectors are ordered by label and the concatenated values of random cross-polytope hashes (which signed axis of a
 random rotation a vector lies nearest to), so near vectors share long prefixes. Each vector is compared with the next WINDOW
 vectors in that order; blocks of positions have equal sizes whatever the labels. Verified pairs of all passes are united.
-A window is bounded and a group of near copies is not, so the number of links is then counted within each component, where
-all links of a vector are: pairs of tiles of its members, of bounded size each, emit counts and no pairs.
+Windows miss pairs that no pass brings close, so all pairs of vectors of equal label and dimension are then compared: pairs of
+tiles, of bounded size each, emit exact counts and spanning links. Components are those of the links of both, so no link is
+lost. The work of this step grows with the square of a label's count of distinct vectors.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .simhash import groups_of
 
 PASSES, HASHES, WINDOW = 10, 3, 64
 BLOCK, TILE = 1024, 512
+#: A label has at least SPLIT tiles where they keep TILE rows, so that tasks share it; beyond that tiles grow to TILE_VALUES numbers, so that fewer copies are made.
+SPLIT, TILE_VALUES = 8, 1 << 19
 
 
 def usable(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -79,6 +82,34 @@ def roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return nodes[moved], nodes[root[moved]]
 
 
+def near_block(u: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of unit vectors reach threshold in double precision; single precision decides those beyond its error."""
+    margin = (u.shape[1] + 8) * 2.0**-23
+    about = u.astype("f4") @ v.astype("f4").T
+    near = about >= threshold + margin
+    i, j = np.nonzero((about >= threshold - margin) & ~near)
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        near[a, b] = np.einsum("ij,ij->i", u[a], v[b]) >= threshold
+    return near
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) positions, columns counted after rows, that join what near joins; never more than rows and columns."""
+    rows, columns = np.nonzero(near.any(1))[0], np.nonzero(near.any(0))[0]
+    some = near[np.ix_(rows, columns)]
+    places = np.concatenate([rows, columns + len(near)])
+    root = np.arange(len(places))
+    while len(places):
+        was = root.copy()
+        up, down = root[: len(rows)], root[len(rows) :]
+        np.minimum(up, np.where(some, down[None, :], len(places)).min(1), out=up)
+        np.minimum(down, np.where(some, up[:, None], len(places)).min(0), out=down)
+        if (root == was).all():
+            break
+    return places, places[root]
+
+
 def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.93, passes: int = PASSES, hashes: int = HASHES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; rows of one id are one vector each.
 
@@ -153,34 +184,51 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.93, passes: i
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     sorted_blocks = spread.select("block", "position", F.xxhash64("pass", "label", "size").alias("group"), "vec_id", "vector").repartition("block").sortWithinPartitions("block", "position")
-    linked = connected_components(sorted_blocks.mapInArrow(compare, "u long, v long"))
+    window_links = sorted_blocks.mapInArrow(compare, "u long, v long")
 
-    members = stage(vectors.join(linked.withColumnRenamed("node", "vec_id"), "vec_id").select("vec_id", "component", "copies", "vector"), "members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    tiled = members.join(sizes, "component").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    sized = vectors.withColumn("size", (F.octet_length("vector") / 8).cast("int"))
+    sizes = sized.groupBy("label", "size").agg(F.count("*").alias("n"))
+    rows_of_tile = F.least(F.greatest(F.col("n") / SPLIT, F.lit(TILE)), F.greatest(TILE_VALUES / F.col("size"), F.lit(TILE)))
+    tiled = sized.join(sizes, ["label", "size"]).withColumn("tiles", F.ceil(F.col("n") / rows_of_tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = tiled.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "component", "own", "other", "vec_id", "copies", "vector")
+    cells = tiled.select(F.xxhash64("label", "size", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.xxhash64("label", "size").alias("whole"), "own", "other", "vec_id", "copies", "vector")
 
     def count(batches):
         for rows in groups_of(batches, "group"):
-            n = len(rows["vec_id"])
-            total = np.zeros(n)
-            for c in np.unique(rows["component"]):
-                at = np.nonzero(rows["component"] == c)[0]
-                own, other = rows["own"][at], rows["other"][at]
-                u = unit(np.frombuffer(b"".join(rows["vector"][i] for i in at), "<f8").reshape(len(at), -1))
-                near = u @ u.T >= threshold
-                np.fill_diagonal(near, False)
+            for whole, low, high in set(zip(rows["whole"].tolist(), np.minimum(rows["own"], rows["other"]).tolist(), np.maximum(rows["own"], rows["other"]).tolist())):
+                one = rows["whole"] == whole
                 # between two tiles pairs across count, within one tile all
-                near &= (own[:, None] == other[None, :]) & (other[:, None] == own[None, :])
-                total[at] = near @ rows["copies"][at]
-            yield pa.RecordBatch.from_arrays([pa.array(rows["vec_id"]), pa.array(total.astype("int64"))], names=["vec_id", "n"])
-
-    links = cells.repartition("group").sortWithinPartitions("group").mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+                at = [np.nonzero(one & (rows["own"] == a) & (rows["other"] == b))[0] for a, b in ([(low, high), (high, low)] if low < high else [(low, low)])]
+                if not all(map(len, at)):
+                    continue
+                units = [unit(np.frombuffer(b"".join(rows["vector"][i] for i in x), "<f8").reshape(len(x), -1)) for x in at]
+                copies, totals = [rows["copies"][x] for x in at], [np.zeros(len(x), "int64") for x in at]
+                left, right = [], []
+                for start in range(0, len(at[0]), TILE):
+                    near = near_block(units[0][start : start + TILE], units[-1], threshold)
+                    if low == high:
+                        near[np.arange(len(near)), np.arange(start, start + len(near))] = False
+                    totals[0][start : start + TILE] += near @ copies[-1]
+                    if low < high:
+                        totals[1] += copies[0][start : start + TILE] @ near
+                    places, root = spanning(near)
+                    node = np.concatenate([np.arange(start, start + len(near)), np.arange(len(at[-1])) + (len(at[0]) if low < high else 0)])
+                    left.append(node[places])
+                    right.append(node[root])
+                ids, total = rows["vec_id"][np.concatenate(at)], np.concatenate(totals)
+                u, v = roots(ids, np.concatenate(left), np.concatenate(right))
+                some = np.nonzero(total)[0]
+                for a, b, n in ((u, pa.array(v), pa.nulls(len(u), pa.int64())), (ids[some], pa.nulls(len(some), pa.int64()), pa.array(total[some]))):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), b, n], names=["u", "v", "n"])
+
+    compared = stage(cells.repartition("group").sortWithinPartitions("group").mapInArrow(count, "u long, v long, n long"), "compared")
+    linked = connected_components(window_links.union(compared.where("v is not null").select("u", "v")))
+    links = compared.where("n is not null").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n"))
     found = stage(vectors.select(F.col("vec_id").alias("rep"), "label", "copies").join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "label", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component_id")), "found")
     of_vector = keyed.select("vec_id", "label", "digest").join(groups.select("label", "digest", "rep"), ["label", "digest"]).join(found, ["rep", "label"]).select("vec_id", "label", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id").dropDuplicates(["vec_id", "label"])
     remove(spark, sorted_rows)
+    remove(spark, compared)
     result = base.select("vec_id", "label").join(of_vector, ["vec_id", "label"], "left")
     return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
