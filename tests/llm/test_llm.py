@@ -190,6 +190,18 @@ def test_simhash_documents(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_firsts_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(12)]
+    assert min((plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() for a in texts for b in texts if a != b) > 4
+    # null ids alone, twice; one null id beside an id; one id with three texts; copies in rows of other ids
+    rows = [(None, t, "x") for t in texts[:6]] + [(None, texts[0], "y"), (7, texts[5], "z")] + [(3, t, "x") for t in texts[6:9]] + [(9, texts[6], "x"), (2, texts[9], "x"), (1, texts[9], "x"), (5, None, "x"), (None, "", "x")]
+    kept = simhash.keep_firsts(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "source"]
+    expected = [(None, t) for t in texts[:5]] + [(7, texts[5])] + [(3, t) for t in texts[6:9]] + [(1, texts[9]), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
 @pytest.mark.parametrize(("threshold", "tile"), [(4, 2048), (4, 16), (3, 2048), (1, 2048)])
 def test_simhash_links_are_whole(spark, monkeypatch, threshold, tile):
     monkeypatch.setattr(simhash, "TILE_ROWS", tile)

@@ -10,10 +10,11 @@ some block, and y is a guest where x is at home: no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -174,11 +175,25 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE
 
 
 def keep_firsts(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of smallest id of each group of near duplicates, once; all columns as they are."""
-    firsts = near_duplicates(docs, threshold=threshold, words=words, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    one = Window.partitionBy(id_col).orderBy(id_col)
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi").withColumn("_copy", F.row_number().over(one))
-    return kept.where("_copy = 1").drop("_copy")
+    """One row of each group of near duplicates, all columns as they are: that of the smallest id, then of the smallest SHA-256 of its text.
+
+    Rows count as documents of their own whatever their ids, so null and repeated ids are kept where their texts differ; a null
+    id comes after all others. Rows are staged with a number, by which the chosen ones are found again.
+    """
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("_row", rows[id_col].cast("long").alias("doc_id"), text_or_empty(rows, text_col).alias("text"))
+
+    def make():
+        return lambda part: {"_row": part["_row"], "doc_id": part["doc_id"], "digest": [sha256(t.encode()).digest() for t in part["text"].to_pylist()], "fp": [fingerprint(t, words) for t in part["text"].to_pylist()]}
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "_row"))
+    distinct = stage(map_rows(texts, make, "_row long, doc_id long, digest binary, fp long").groupBy("fp").agg(first.alias("first")), "distinct")
+    linked = connected_components(near_links(distinct.select("fp"), threshold))
+    grouped = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("first.*", F.coalesce("component", "fp").alias("component"))
+    chosen = stage(grouped.groupBy("component").agg(first.alias("first")).select("first._row"), "chosen")
+    for old in (linked, distinct):
+        remove(docs.sparkSession, old)
+    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
