@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weft.registry import QUERIES, SQL
@@ -15,10 +16,12 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
 
 def rows(df):
     def plain(v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return None
         return round(v, 6) if isinstance(v, float) else v
 
     cols = sorted(df.columns)
-    return sorted((tuple(None if v is None or v != v else plain(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=str)
+    return sorted((tuple(map(plain, r)) for r in df[cols].astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
