@@ -373,6 +373,33 @@ def test_interactions_are_learned():
     assert m.score({a, b}) > 0.5 > max(m.score({a}), m.score({b}))
 
 
+def test_a_second_term_takes_the_toxicity_away(spark):
+    """An insult that is toxic alone and harmless beside a term that is not toxic itself, nor rare in clean texts."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(1600):
+        kind = rng.randrange(4)  # neither, insult, second term, both
+        rows.append((i, " ".join(rng.choices(words, k=8) + ["scum"] * (kind in (1, 3)) + ["pond"] * (kind in (2, 3)))))
+        labels.append((i, int(kind == 1)))
+    table = spark.createDataFrame([*rows, (9000, "scum w1"), (9001, "scum pond w1"), (9002, "pond w1"), (9000, "scum w1")], "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, (0, labels[0][1])], "doc_id long, toxic int")
+    machine = toxicity.train(table, marks)
+    out = toxicity.score(table, machine).where("doc_id >= 9000").collect()
+    score = {r.doc_id: r.score for r in out}
+    assert len(out) == 4 and score[9000] > 0.6 and score[9001] < 0.3 and score[9002] < 0.3
+    assert toxicity.score(table.limit(0), machine).count() == 0
+
+
+def test_machine_is_the_double_sum():
+    rng = np.random.default_rng(9)
+    m = toxicity.Machine({i: i for i in range(40)}, -1.0, rng.normal(size=40), rng.normal(size=(40, 8)))
+    for size in (0, 1, 2, 17, 40):
+        present = rng.choice(40, size, replace=False).tolist()
+        z = m.bias + sum(m.w[i] for i in present) + sum(m.v[i] @ m.v[j] for i in present for j in present if i < j)
+        assert abs(m.score(set(present)) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 383, 384, 385, 5000])
 def test_jpeg_payload(n):
     raw = random.Random(n).randbytes(n)
