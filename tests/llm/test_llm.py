@@ -307,33 +307,95 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.predict(table, None).collect()} == {"und"}
 
 
+def kneser_ney(counts):
+    """Plain interpolated model of one language by its definition: function of (gram so far, next character) to a probability."""
+    from functools import cache
+
+    order = language_id.ORDER
+    level = {order: {g: n for g, n in counts.items()}}
+    for k in range(order - 1, 0, -1):  # continuation counts; grams that start a word, which have no longer history, keep their own
+        level[k] = {g: n for g, n in level[k + 1].items() if len(g) <= k}
+        for g in [g for g in level[k + 1] if len(g) == k + 1]:
+            level[k][g[1:]] = level[k].get(g[1:], 0) + 1
+    floor = 1 / (len({c for g in counts for c in g}) + 256)
+
+    @cache
+    def p(context, c):
+        if context is None:
+            return floor
+        k = len(context) + 1
+        here = {g: n for g, n in level[k].items() if len(g) == k and g[:-1] == context}
+        below = p(context[1:] if context else None, c)
+        if not here:
+            return below
+        total = sum(here.values())
+        return max(here.get(context + c, 0) - language_id.DISCOUNT, 0) / total + language_id.DISCOUNT * len(here) / total * below
+
+    return p, floor
+
+
 def test_kneser_ney_sums_to_one():
     from collections import Counter
 
     seen: Counter = Counter()
     for w in "abc abd bcd aab".split():
         language_id.count_grams(w, 1, seen)
+    p, floor = kneser_ney(seen)
     models = language_id.fit_models([("x", g, n) for g, n in seen.items()])
+    assert models.floor == floor
     chars = sorted({c for g in seen for c in g})
-    for stem in ("", "a", "ab", "zz"):
-        total = 0.0
-        for c in chars:
-            p = language_id.padded(stem + c)[:-1]
-            hashes = language_id.gram_hashes(np.frombuffer(p.encode("utf-32-le"), "<u4").astype("u8"), language_id.ORDER)
-            prob = models.contexts[0][1][0, 0] * models.floor
-            i = len(p) - 1
-            for k in range(language_id.ORDER):
-                if i < k:
-                    break
-                if k:
-                    keys, gamma = models.contexts[k]
-                    at = min(int(np.searchsorted(keys, hashes[k - 1][i - 1])), len(keys) - 1)
-                    prob *= gamma[at, 0] if keys[at] == hashes[k - 1][i - 1] else 1
-                keys, alpha = models.grams[k]
-                at = min(int(np.searchsorted(keys, hashes[k][i])), len(keys) - 1)
-                prob += alpha[at, 0] if keys[at] == hashes[k][i] else 0
-            total += prob
-        assert total <= 1 + 1e-9
+    for context in ("", " ", " a", "ab", " ab", "zzz", "aab"):
+        # the 256 characters that are kept for what was never seen share the floor alike
+        assert abs(sum(p(context, c) for c in chars) + 256 * p(context, "#") - 1) < 1e-12
+
+
+def test_cross_entropy_by_brute_force():
+    from collections import Counter
+
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(80)] for lang, letters in (("a", "abcdé"), ("b", "cdefß"))}
+    counts = {}
+    for lang, some in words.items():
+        counts[lang] = Counter()
+        for w in some:
+            language_id.count_grams(w, 1, counts[lang])
+    models = language_id.fit_models([(lang, g, n) for lang, c in counts.items() for g, n in c.items()])
+    floor = models.floor
+    scorer = language_id.Scorer(models)
+    texts = ["Abc dE, 12ab3cd zz", "ß", "a1b2 " * 30, "née-cafe x_y", "c" * 200]
+    out = scorer.score(pa.array(texts))
+    for j, lang in enumerate(models.langs):
+        p, own = kneser_ney(counts[lang])
+        for i, text in enumerate(texts):
+            bits = length = 0
+            for run in re.findall(r"[^\W\d_]+", text.lower()):
+                padded = f" {run} "
+                for at in range(1, len(padded)):
+                    bits -= np.log2(brute(p, padded[max(0, at - language_id.ORDER + 1) : at], padded[at], own, floor))
+                length += len(run) + 1
+            assert abs(out[i, j] - bits / length) < 1e-9
+
+
+def brute(p, context, c, own_floor, floor):
+    """p with the floor of all languages' characters in place of one's own: what is left to the floor is linear in it."""
+    gone = p(context, "\0") / own_floor
+    return p(context, c) - gone * own_floor + gone * floor
+
+
+def test_unseen_languages_are_rejected(spark):
+    """Texts of languages that were not learned, and noise, against documents that were not learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = language_id.train(docs, learn=F.col("doc_id") % 5 != 0)
+    texts = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita", "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan",
+        "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił", "Άνδρα μοι έννεπε, Μούσα, πολύτροπον, ος μάλα πολλά πλάγχθη", "xk7q9 zzpqw vvkxj 8f3a2c qqrtx wzxcv", "これは日本語の文章です",
+    ]
+    strange = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert language_id.keep_accepted(strange, models).count() == 0
+    out = language_id.predict(docs.where("doc_id % 5 = 0"), models).where("lang_pred <> 'und'").collect()
+    assert sum(r.rejected for r in out) <= len(out) * 0.01
+    assert language_id.predict(docs.limit(0), models).count() == 0
+    assert language_id.predict(strange.union(strange), models).count() == 2 * len(texts)
 
 
 def test_toxicity(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -10,17 +9,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coder import split_words, sums, text_slices
-from .shared import keep_rows, map_rows, slices
+from .shared import keep_rows, map_rows, remove, stage
 
 ORDER = 4
 #: Documents of each language that the model learns from, and that rejection is calibrated on (expected size of a hash sample).
 SAMPLE_DOCS, CALIBRATION_DOCS = 300, 150
-#: Bits a character above the worst calibration document of a language from which a text is rejected.
-REJECT_MARGIN = 1.0
+#: A text is rejected from REJECT_MARGIN bits a character above what REJECT_SHARE of the calibration documents of its language cost at most.
+REJECT_SHARE, REJECT_MARGIN = 0.98, 2.5
 #: Sharpness of the score: odds of two languages double for each 1 / SHARPNESS bits a character between them.
 SHARPNESS = 8.0
 DISCOUNT = 0.75
@@ -29,13 +29,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 UND = "und"
 
 
-RUNS = re.compile(r"[^\W\d_]+")
-DIGIT = re.compile(r"\d")
+#: A run of letters, with the marks that belong to them.
+RUNS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letter_runs(word: str) -> list[str]:
-    """What is scored of a lower-cased word: its runs of letters; nothing of numbers, keys and addresses, which hold digits."""
-    return [word] if word.isalpha() else [] if DIGIT.search(word) else RUNS.findall(word)
+    """What is scored of a lower-cased word: all of its letters, in runs."""
+    return [word] if word.isalpha() else RUNS.findall(word)
 
 
 def padded(word: str) -> str:
@@ -165,9 +165,6 @@ class Scorer:
             self.bits = np.concatenate([self.bits, *rows])
         rows = self.bits[np.fromiter(map(self.index.__getitem__, words), "int64", len(words))][places]
         out = np.column_stack([sums(rows[:, j], offsets) for j in range(rows.shape[1])])
-        bare = np.nonzero(out[:, -1] == 0)[0]  # all letters stand beside digits
-        if len(bare):
-            out[bare] = self.rows([RUNS.findall(texts[i].as_py().lower()) for i in bare.tolist()])
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
     def rows(self, runs: list[list[str]]) -> np.ndarray:
@@ -178,29 +175,26 @@ class Scorer:
         return np.column_stack([sums(bits[:, j], np.concatenate([[0], ends])) for j in range(bits.shape[1])])
 
 
-def sampled(docs: DataFrame, key: Column, group: Column, size: int, salt: str) -> DataFrame:
-    """About `size` rows of each group by a hash of key: a fixed choice that needs no sort and no shuffle of texts."""
-    counts = {r[0]: r[1] for r in docs.select(group.alias("g")).where("g is not null").groupBy("g").count().collect()}
-    parts = 1 << 40
-    share = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(parts))
-    keep = F.lit(False)
-    for value, n in sorted(counts.items()):
-        keep = keep | ((group == F.lit(value)) & (share < int(parts * min(1.0, size / n))))
-    return docs.where(keep)
-
-
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> CharModels | None:
     """Fit on a bounded hash sample (sample_docs documents a language) of rows where learn holds and text and language are given.
 
-    Counts are gathered on the executors; the driver gets those of the sample only. Rejection is calibrated on documents that
-    the models did not learn from. None if there is nothing to learn from.
+    One scan counts languages, one draws the samples, by a hash of doc_id: a fixed choice that needs no sort and no shuffle of
+    texts. Counts of grams are gathered on the executors; the driver gets those of the sample only. Rejection is calibrated on
+    documents that the models did not learn from (calibration_docs a language, a quarter of the hash's range). Repeated rows
+    count as often as they come; other columns are not read. None if there is nothing to learn from, as in an empty table.
     """
-    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where(F.col("lang").isNotNull())
     given = given.where(learn) if learn is not None else given
     held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(4)) == 0
+    counts = {(r[0], r[1]): r[2] for r in given.groupBy("lang", held.alias("held")).count().collect()}
+    parts = 1 << 40
+    share, keep = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(parts)), F.lit(False)
+    for (lang, of_held), n in sorted(counts.items()):
+        keep = keep | ((F.col("lang") == F.lit(lang)) & (held == F.lit(of_held)) & (share < int(parts * min(1.0, (calibration_docs if of_held else sample_docs) / n))))
+    sample = stage(given.where(keep & F.col("text").isNotNull()).withColumn("held", held), "language-sample")
 
     def grams(batches):
-        for part in slices(batches):
+        for part in text_slices(batches):
             words: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(part["text"].to_pylist(), part["lang"].to_pylist()):
                 words[lang].update(text.lower().split())
@@ -210,14 +204,15 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                     count_grams(word, n, found)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "gram": list(found), "n": list(found.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
-    sample = sampled(given.where(~held), F.col("doc_id"), F.col("lang"), sample_docs, "learn").select("text", "lang")
-    counts = sample.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if not len(counts):
+    found = sample.where("not held").select("text", "lang").mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    if not len(found):
+        remove(docs.sparkSession, sample)
         return None
-    models = fit_models(counts.itertuples(index=False))
-    checked = sampled(given.where(held), F.col("doc_id"), F.col("lang"), calibration_docs, "calibrate")
-    worst = {r[0]: r[1] for r in predict(checked, models).where("score > 0").groupBy("lang_pred").agg(F.max("bits")).collect()}
-    models.limits = np.asarray([worst.get(lang, np.inf) + REJECT_MARGIN for lang in models.langs])
+    models = fit_models(found.itertuples(index=False))
+    checked = predict(sample.where("held"), models).where("score > 0")
+    usual = {r[0]: r[1] for r in checked.groupBy("lang_pred").agg(F.percentile("bits", F.lit(REJECT_SHARE))).collect()}
+    models.limits = np.asarray([usual.get(lang, np.inf) + REJECT_MARGIN for lang in models.langs])
+    remove(docs.sparkSession, sample)
     return models
 
 
@@ -226,7 +221,7 @@ def predict(docs: DataFrame, models: CharModels | None, *, id_col: str = "doc_id
 
     lang_pred is the language of lowest length-normalised cross-entropy over the whole text, `und` (score 0, rejected) if the
     text is null or has no letter, or if nothing was learned. Ties go to the language that sorts first. A text is rejected too
-    if its cross-entropy is above that of its language's worst calibration document by REJECT_MARGIN bits.
+    if its cross-entropy is above its language's limit. Texts of any length are scored whole. Repeated rows each get a row, an empty table gives an empty result, other columns are not read.
     """
     schema = "doc_id long, lang_pred string, score double, bits double, rejected boolean"
 
@@ -238,7 +233,10 @@ def predict(docs: DataFrame, models: CharModels | None, *, id_col: str = "doc_id
 
 
 def keep_accepted(docs: DataFrame, models: CharModels | None, *, text_col: str = "text") -> DataFrame:
-    """The documents that predict does not reject; all of them if nothing was learned, but for texts without a letter."""
+    """The documents that predict does not reject, all columns and repeated rows as they are, whatever their ids.
+
+    All of them if nothing was learned, but for null texts and texts without a letter.
+    """
 
     def make():
         each = predictor(models)

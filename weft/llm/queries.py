@@ -46,7 +46,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.train(docs, learn=remainder(5) != 0)
-    return language_id.predict(docs, models).select("doc_id", (F.coalesce(remainder(5), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, models).select("doc_id", (F.coalesce(remainder(5), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
