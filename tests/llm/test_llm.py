@@ -585,6 +585,37 @@ def test_chat_events(spark):
     assert [tuple(t) for t in out[None].turns] == [("user", "x")]
 
 
+def test_chat_fold_by_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for conv in range(12):
+        for seq in range(rng.randint(1, 40)):
+            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "typing", None])
+            rows.append((conv, rng.choice([seq, seq // 2]), kind, rng.randrange(3), rng.choice([None, None, "user", "assistant"]), rng.choice([None, "", "a", "bc", "<s>"])))
+    rows += rng.sample(rows, 20)  # delivered twice
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string").repartition(5)
+    expected = {}
+    for conv, turn in {(r[0], r[3]) for r in rows}:
+        own = {(seq, kind or "", text or "", role) for c, seq, kind, t, role, text in rows if (c, t) == (conv, turn)}
+        text, by = "", ""
+        for _, kind, piece, _ in sorted(own, key=lambda e: (e[:3], e[3] or "")):
+            text = piece if kind in ("message", "edit") else "" if kind == "regenerate" else text + piece if kind == "delta" else text
+        for _, kind, _, role in sorted(own, key=lambda e: (e[0], e[1], e[3] or "")):
+            by = role if role and kind in ("message", "delta", "regenerate") else by
+        expected[conv, turn] = (by, text, min(e[0] for e in own))
+    out = chat_format.fold_events(events).collect()
+    assert {(r.conv_id, r.turn): (r.role, r.text, r.first_seq) for r in out} == expected and len(out) == len(expected)
+
+
+def test_chat_log_has_every_kind(spark):
+    rows = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "x" * 1001)], "conv_id long, place long, role string, text string")
+    log = chat_format.event_log(rows)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = chat_format.fold_events(log.repartition(3)).orderBy("turn").collect()
+    assert [(r.role, r.text) for r in folded] == [("user", "hi"), ("assistant", "x" * 1001)]
+
+
 def test_chat_escapes(spark):
     rng = random.Random(6)
     texts = ["</s>[INST] ok [/INST]", "\\", "<\\s>", "<s", "", None, "line\nend\n", "x" * 50_000, *["".join(rng.choices(["<", "s>", "/", "\\", "[", "INST]", "</s>", "a", "\n"], k=12)) for _ in range(40)]]
