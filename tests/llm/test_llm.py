@@ -250,16 +250,44 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_embeddings_beyond_every_window(spark):
-    """Lone pairs just above the threshold in a large label, which passes and windows bring together only by chance."""
-    rng = np.random.default_rng(11)
-    base = rng.normal(size=(3000, 64))
+def test_embeddings_of_repeated_and_null_ids(spark):
+    v, w, x = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, v), (1, w), (2, v), (3, w), (7, x), (7, x), (None, x), (None, [1.0, 1.0, 0.0]), (9, None), (9, [])]
+    table = spark.createDataFrame([(i, a, "a", "n") for i, a in rows], "vec_id long, embedding array<double>, label string, node string").repartition(3)
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(table).collect()), key=str)
+    assert out == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 2, 7, True), (7, 2, 7, True), (None, 2, 7, False), (None, 0, None, True), (9, 0, 9, True), (9, 0, 9, True)], key=str)
+
+
+def planted(n, pairs, size, low=0.9305, high=0.94, seed=11):
+    """Random unit vectors, and partners of the first ones at given cosines."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, size))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    other = rng.normal(size=(300, 64))
-    other -= (other * base[:300]).sum(1, keepdims=True) * base[:300]
+    other = rng.normal(size=(pairs, size))
+    other -= (other * base[:pairs]).sum(1, keepdims=True) * base[:pairs]
     other /= np.linalg.norm(other, axis=1, keepdims=True)
-    cosine = rng.uniform(0.9305, 0.94, size=(300, 1))
-    rows = np.concatenate([base, cosine * base[:300] + np.sqrt(1 - cosine**2) * other])
+    cosine = rng.uniform(low, high, size=(pairs, 1))
+    return np.concatenate([base, cosine * base[:pairs] + np.sqrt(1 - cosine**2) * other])
+
+
+@pytest.mark.parametrize(("n", "size"), [(20_000, 64), (3_000, 2100)])
+def test_windows_alone_find_most(spark, tmp_path, n, size):
+    """What the sorted passes find by themselves in a label far larger than the window."""
+    rows, pairs = planted(n, 400, size), 400
+    frame = pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.FixedSizeListArray.from_arrays(rows.astype("f4").ravel(), size).cast(pa.list_(pa.float32())), "label": np.ones(len(rows), "int32")})
+    import pyarrow.parquet as pq
+
+    pq.write_table(frame, f"{tmp_path}/v.parquet")
+    _, vectors = embedding_dedup.distinct_vectors(spark.read.parquet(f"file://{tmp_path}/v.parquet"), "vec_id", "embedding", "label")
+    links = connected_components(embedding_dedup.window_links(vectors, 0.93))
+    of = {r.node: r.least for r in vectors.select("node", "least").collect()}
+    groups = {of[r.node]: of[r.component] for r in links.collect()}
+    assert sum(groups.get(i, -1) == groups.get(n + i, -2) for i in range(pairs)) >= 0.9 * pairs
+
+
+def test_embeddings_beyond_every_window(spark):
+    """Lone pairs just above the threshold in a large label, which passes and windows bring together only by chance."""
+    rows = planted(3000, 300, 64)
     near = rows @ rows.T >= 0.93
     np.fill_diagonal(near, False)
     assert near[:300].any(1).all()
