@@ -583,6 +583,119 @@ def test_jpeg_general_scans():
     assert (found["parts"][0]["c"] == coefficients).all()
 
 
+class Coded:
+    """Bits of scans as a plain writer makes them, with codes of eight or nine bits for the symbols 0 to 254 in order."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n - 1, -1, -1)]
+
+    def symbol(self, s, value=0, n=0):
+        self.put(s, 8) if s < 128 else self.put(256 + s - 128, 9)
+        self.put(value, n)
+
+    def number(self, v, run=0):
+        n = abs(v).bit_length()
+        self.symbol(run << 4 | n, v if v >= 0 else v + (1 << n) - 1, n)
+
+    def done(self):
+        return media_jpeg.pack_bits(np.asarray(self.bits, "u1")).replace(b"\xff", b"\xff\x00")
+
+
+def test_jpeg_subsampled_interleaved_and_restarted():
+    """4:2:0 of a size that is no multiple of a block: interleaved DC scans, AC scans by component, all with restarts; colours by the plain formulas."""
+    rng = np.random.default_rng(5)
+    height, width, restart = 20, 24, 2
+    sampling, own, stride = [(2, 2), (1, 1), (1, 1)], [(3, 3), (2, 2), (2, 2)], [(4, 4), (2, 2), (2, 2)]  # (down, across)
+    c = [np.where(rng.random((down * across, 64)) < 0.1, rng.integers(-9, 10, (down * across, 64)), 0) for down, across in stride]
+    for part in c:
+        part[:, 0] = rng.integers(-60, 60, len(part))
+    for part, (down, across), (most, wide) in zip(c, own, stride):  # blocks beyond the picture have no AC scan
+        y, x = np.divmod(np.arange(most * wide), wide)
+        part[(y >= down) | (x >= across), 1:] = 0
+    mcus = [[[(my * v + dy) * stride[i][1] + mx * h + dx for dy in range(v) for dx in range(h)] for i, (v, h) in enumerate(sampling)] for my in range(2) for mx in range(2)]
+
+    def joined(pieces):
+        return b"".join(p + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(pieces) else b"") for i, p in enumerate(pieces))
+
+    first, second = [], []
+    for start in range(0, len(mcus), restart):
+        a, b, last = Coded(), Coded(), [0, 0, 0]
+        for mcu in mcus[start : start + restart]:
+            for i, blocks in enumerate(mcu):
+                for block in blocks:
+                    value = int(c[i][block, 0]) >> 1
+                    a.number(value - last[i])
+                    last[i] = value
+                    b.put(int(c[i][block, 0]) & 1, 1)
+        first.append(a.done())
+        second.append(b.done())
+    scans = [media_jpeg.segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 1])) + joined(first)]
+    for i, (down, across) in enumerate(own):
+        order, pieces = [y * stride[i][1] + x for y in range(down) for x in range(across)], []
+        for start in range(0, len(order), restart):
+            w = Coded()
+            for block in order[start : start + restart]:
+                zeros, ac = 0, c[i][block, 1:].tolist()
+                while ac and not ac[-1]:
+                    ac.pop()
+                for v in ac:
+                    if not v:
+                        zeros += 1
+                        continue
+                    for _ in range(zeros // 16):
+                        w.symbol(0xF0)
+                    w.number(v, zeros % 16)
+                    zeros = 0
+                if len(ac) < 63:
+                    w.symbol(0)
+            pieces.append(w.done())
+        scans.append(media_jpeg.segment(0xDA, bytes([1, i + 1, 0, 1, 63, 0])) + joined(pieces))
+    scans.append(media_jpeg.segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 0x10])) + joined(second))
+    quant = rng.integers(1, 20, (2, 64))
+    every = {8: list(range(128)), 9: list(range(128, 255))}
+    data = b"".join([
+        b"\xff\xd8", media_jpeg.segment(0xDB, bytes([0, *quant[0].tolist()])), media_jpeg.segment(0xDB, bytes([1, *quant[1].tolist()])), media_jpeg.segment(0xDD, bytes([0, restart])),
+        media_jpeg.segment(0xC2, bytes([8, 0, height, 0, width, 3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1])), media_jpeg.huffman(0, 0, every), media_jpeg.huffman(1, 0, every), *scans, b"\xff\xd9",
+    ])
+    found = media_jpeg.read_jpeg(data)
+    assert all((p["c"] == part).all() for p, part in zip(found["parts"], c))
+    # the plain inverse transform, sample by sample
+    place = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+
+    def sample(i, y, x):
+        block = c[i][y // 8 * stride[i][1] + x // 8] * quant[min(i, 1)]
+        total = 0.0
+        for k, at in enumerate(place):
+            v, u = divmod(at, 8)
+            if block[k]:
+                total += block[k] * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4 * np.cos((2 * (x % 8) + 1) * u * np.pi / 16) * np.cos((2 * (y % 8) + 1) * v * np.pi / 16)
+        return min(255, max(0, int(np.floor(total + 128.5 + 1e-7))))
+
+    rgb = media_jpeg.rgb_of(found)
+    assert rgb.shape == (height, width, 3)
+    for y in range(height):
+        for x in range(width):
+            luma, cb, cr = sample(0, y, x), sample(1, y // 2, x // 2) - 128, sample(2, y // 2, x // 2) - 128
+            expected = [luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb]
+            assert rgb[y, x].tolist() == [min(255, max(0, int(np.floor(e + 0.5 + 1e-7)))) for e in expected]
+    one = media_jpeg.decode_one(data)
+    assert one["payload"] is None and one["error"] is None and one["rgb"] == rgb.tobytes()
+
+
+def test_media_null_and_broken(spark):
+    good = media_jpeg.write_payload(b"x" * 64, 5)
+    rows = [(1, good, "a"), (2, None, "b"), (3, b"", "c"), (4, b"GIF89a", "d"), (5, good[: len(good) // 2], "e"), (6, good[:30], "f"), (1, good, "a")]
+    table = spark.createDataFrame([(i, bytearray(m) if m is not None else None, r) for i, m, r in rows], "doc_id long, media binary, rgb string")
+    out = media_jpeg.with_feature(media_jpeg.decode_media(table)).collect()
+    assert len(out) == 7 and sum(r.error is None for r in out) == 2
+    assert all((r.payload is None) == (r.feature is None) == (r.error is not None) for r in out)
+    assert all(bytes(r.payload) == b"x" * 64 for r in out if r.doc_id == 1)
+    assert media_jpeg.decode_media(table.limit(0)).count() == 0
+
+
 def test_inverse_transform():
     flat = np.zeros((1, 64))
     flat[0, 0] = 80
@@ -592,12 +705,13 @@ def test_inverse_transform():
 
 
 def test_media_table(docs):
-    out = media_jpeg.decode_media(media_jpeg.store_texts(docs)).collect()
+    stored = media_jpeg.store_tensors(media_jpeg.decode_media(media_jpeg.store_texts(docs)))
+    out = media_jpeg.with_feature(stored.withColumn("kept", F.col("rgb"))).collect()
     assert len(out) == len(TEXTS) + 1
     for r in out:
         raw = (TEXTS[r.doc_id] or "").encode()
         assert r.n_bytes == len(raw) and r.payload == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
-        assert len(r.rgb) == r.height * r.width * 3
+        assert len(r.kept) == r.height * r.width * 3 and r.feature.startswith(f"{r.height}x{r.width}:") and r.error is None
     assert len({r.feature for r in out if r.doc_id == 5}) == 1
     assert media_jpeg.store_texts(docs.limit(0)).count() == 0
 
