@@ -129,16 +129,70 @@ def test_interleave_and_tags(spark):
         strings.concat([a, stream(spark, ["x"], "string")], "v", ["ord"])
 
 
-@pytest.mark.parametrize("content", ["", "a,b\nc,d\n", 'a,"x,\ny"\n1,2', "a\r\nb\r\n", "a,\n,b\n", "x,"])
-def test_csv_tokens(content):
-    assert "".join(t for _, t in text.csv_tokens(content)) == content
-
-
-def test_csv_errors():
-    for bad in ('a,"b', "a,b\nc\n"):
-        with pytest.raises(ValueError):
-            text.csv_tokens(bad)
-    assert [t for k, t in text.csv_tokens("a,,b", null_aware=True) if k == "sep"] == [",,"]
+def plain_csv(content, sep=",", null_aware=False):
+    """(row, col, kind, token) one character after the other; None for texts that are errors."""
+    out, row, col, at, width, field = [], 0, 0, 0, None, not null_aware
+    while at < len(content):
+        if field:
+            end = at
+            while end < len(content) and content[end] not in (sep, "\n"):
+                if content[end] == '"':
+                    end = content.find('"', end + 1)
+                    if end < 0:
+                        return None
+                end += 1
+            out.append((row, col, "field", content[at:end]))
+            at = end
+        if at < len(content) and content[at] == "\n":
+            width = col + 1 if width is None else width
+            if width != col + 1:
+                return None
+            out.append((row, col, "newline", "\n"))
+            row, col, at, field = row + 1, 0, at + 1, not null_aware
+        elif at < len(content) and content[at] == sep:
+            end = at + 1
+            while null_aware and end < len(content) and content[end] == sep:
+                end += 1
+            out.append((row, col, "sep", content[at:end]))
+            col, at, field = col + end - at, end, True
+        else:
+            field = True
+    return out
+
+
+def csv_texts():
+    import random
+
+    rng = random.Random(5)
+    fixed = ["", "a", "a,b\n", "a,b\nc,d\n", "a,b\nc,d", ",,\n,,\n", '"x,\ny",2\n3,4\n', 'p"q"r,s\n', "a,\n", "a,", "\n", "\n\n", "a\r\nb\r\n", "é,ü\n" * 30, '"' + "x," * 5000 + '",1\n']
+    return fixed + ["".join(rng.choices(["a", "b", ",", ",", "\n", '"q,"', ""], k=rng.randint(1, 9))) for _ in range(150)]
+
+
+@pytest.mark.parametrize("null_aware", [False, True])
+def test_csv_lexer(spark, null_aware):
+    texts = csv_texts()
+    expected = [plain_csv(t, null_aware=null_aware) for t in texts]
+    good = [(i, t) for i, (t, e) in enumerate(zip(texts, expected)) if e is not None]
+    assert 30 < len(good) < len(texts)
+    found = {}
+    for r in text.csv_lex(spark.createDataFrame([*good, (999, None)], "k long, t string"), "t", ["k"], null_aware=null_aware).orderBy("k", "pos").collect():
+        found.setdefault(r.k, []).append((r.row, r.col, r.kind, r.token))
+    assert all(found.get(i, []) == expected[i] for i, _ in good) and 999 not in found
+
+
+@pytest.mark.parametrize(("bad", "why"), [('a,"b', "unclosed"), ('"', "unclosed"), ("a,b\nc\n", "unequal"), ("a\nb,c\n", "unequal")])
+def test_csv_errors(spark, bad, why):
+    assert plain_csv(bad) is None
+    with pytest.raises(Exception, match=why):
+        text.csv_lex(spark.createDataFrame([(0, bad)], "k long, t string"), "t", ["k"]).collect()
+
+
+def test_csv_streams(spark):
+    rows = spark.createDataFrame([(0, 'h1,h2\na,"x\n,y"\n,b\n'), (1, "h1\nv"), (2, "h\n")], "k long, t string")
+    for header in (True, False):
+        streams = text.csv_dispatch(text.csv_lex(rows, "t", ["k"]), ["k"], header)
+        assert {tuple(r) for r in text.csv_collect(streams, ["k"]).collect()} == {tuple(r) for r in rows.collect()}
+    assert sorted(r.field for r in text.csv_dispatch(text.csv_lex(rows, "t", ["k"]), ["k"])["fields"].where("tag = 1").collect()) == ['"x\n,y"', "b"]
 
 
 @pytest.mark.parametrize("doc", ['{"k": 87}', "[1,-2.5e3,true,false,null,\"a b\"]", "", "ABC", "é{}"])
@@ -158,6 +212,15 @@ def test_layout_language():
         layout.parse("E = { x: u8 when __import__('os') }")
 
 
+def test_static_layout_enforces_what_it_expects(spark):
+    r = layout.parse("H = { a: u8; expect a < 200; } E = { k: i8; n: u16le; h: H; expect k > 0 and (n & 1 == 1 or n % 4 == 0); }")
+    rows = spark.createDataFrame([(bytearray(b),) for b in (b"\x05\x03\x00\x01", b"\x01\x04\x00\xc7")], "raw binary")
+    assert [tuple(x) for x in rows.select(*layout.columns(r, "E", F.col("raw"))).collect()] == [(5, 3, 1), (1, 4, 199)]
+    for bad in (b"\x00\x03\x00\x01", b"\xff\x03\x00\x01", b"\x01\x02\x00\x01", b"\x01\x01\x00\xc8"):
+        with pytest.raises(Exception, match="not as expected"):
+            spark.createDataFrame([(bytearray(bad),)], "raw binary").select(*layout.columns(r, "E", F.col("raw"))).collect()
+
+
 def test_plan_permissive(spark, tmp_path):
     rows = stream(spark, [1, 2, 3])
     p = plan.Plan("v", ("chunk_id",), ("ord",), (("divide_by", {"divisor": 2}),))

@@ -16,11 +16,14 @@ def zip_members(files: DataFrame, content: str = "content", path: str = "path")
 
     def run(batches):
         for rows in batches:
-            for r in rows.to_dict("records"):
-                with zipfile.ZipFile(io.BytesIO(bytes(r[content]))) as z:
+            out: dict[str, list] = {"path": [], "member": [], "size": [], "content": []}
+            for name, raw in zip(rows[path], rows[content]):
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
                     for m in z.infolist():
                         if not m.is_dir():
-                            yield pd.DataFrame({"path": [r[path]], "member": [m.filename], "size": [m.file_size], "content": [z.read(m)]})
+                            for key, value in zip(out, (name, m.filename, m.file_size, z.read(m))):
+                                out[key].append(value)
+            yield pd.DataFrame(out)
 
     return files.select(path, content).mapInPandas(run, "path string, member string, size long, content binary")
 

@@ -15,6 +15,7 @@ import ast
 import re
 import struct
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,21 +109,71 @@ def number(raw: Column, type_: str) -> Column:
     return value
 
 
-def columns(records: dict[str, Record], name: str, raw: Column, prefix: str = "", at: int = 0) -> list[Column]:
-    """Expressions of the fields of a record of fixed layout in a binary column: unused fields cost nothing. Floats stay binary."""
-    out = []
+def expression(text: str, scope: dict[str, Column]) -> Column:
+    """A checked expression over earlier fields as a column expression; comparisons are 1 or 0 in arithmetic."""
+    import operator as op
+
+    two = {ast.Add: op.add, ast.Sub: op.sub, ast.Mult: op.mul, ast.Mod: op.mod, ast.FloorDiv: lambda a, b: F.floor(a / b), ast.BitAnd: lambda a, b: a.bitwiseAND(b), ast.BitOr: lambda a, b: a.bitwiseOR(b), ast.BitXor: lambda a, b: a.bitwiseXOR(b)}
+    sides = {ast.Eq: op.eq, ast.NotEq: op.ne, ast.Lt: op.lt, ast.LtE: op.le, ast.Gt: op.gt, ast.GtE: op.ge}
+
+    def number_of(node) -> Column:
+        c = build(node)
+        return c.cast("long") if isinstance(node, (ast.Compare, ast.BoolOp)) else c
+
+    def build(node) -> Column:
+        if isinstance(node, ast.Constant):
+            return F.lit(node.value)
+        if isinstance(node, ast.Name):
+            return scope[node.id]
+        if isinstance(node, ast.BinOp):
+            return two[type(node.op)](number_of(node.left), number_of(node.right))
+        if isinstance(node, ast.UnaryOp):
+            x = number_of(node.operand)
+            return ~build(node.operand).cast("boolean") if isinstance(node.op, ast.Not) else F.bitwise_not(x) if isinstance(node.op, ast.Invert) else -x
+        if isinstance(node, ast.BoolOp):
+            parts = [build(v).cast("boolean") for v in node.values]
+            whole = parts[0]
+            for p in parts[1:]:
+                whole = whole & p if isinstance(node.op, ast.And) else whole | p
+            return whole
+        terms = [number_of(x) for x in (node.left, *node.comparators)]
+        whole = F.lit(True)
+        for o, a, b in zip(node.ops, terms, terms[1:]):
+            whole = whole & sides[type(o)](a, b)
+        return whole
+
+    return build(ast.parse(text, mode="eval").body)
+
+
+def columns(records: dict[str, Record], name: str, raw: Column) -> list[Column]:
+    """Expressions of the fields of a record of fixed layout in a binary column: unused fields cost nothing. Floats stay binary.
+
+    Where the record expects something, reading any of its fields fails on rows that do not meet it.
+    """
+    return [c.alias(path) for path, c in _columns(records, name, raw, "", 0)]
+
+
+def _columns(records: dict[str, Record], name: str, raw: Column, prefix: str, at: int) -> list[tuple[str, Column]]:
+    out, scope = [], {}
     for f in records[name].fields:
         w = None if f.when else width_of(records, f.type, f.size)
         if w is None:
             raise ValueError(f"{f.name} depends on data")
         piece = F.substring(raw, at + 1, w)
         if f.type in records:
-            out += columns(records, f.type, raw, f"{prefix}{f.name}_", at)
+            out += _columns(records, f.type, raw, f"{prefix}{f.name}_", at)
         else:
             m = NUMBERS.match(f.type)
-            out.append((number(piece, f.type) if m and m["kind"] != "f" else piece).alias(prefix + f.name))
+            scope[f.name] = number(piece, f.type) if m and m["kind"] != "f" else piece
+            out.append((prefix + f.name, scope[f.name]))
         at += w
-    return out
+    if not records[name].expects:
+        return out
+    met = F.lit(True)
+    for e in records[name].expects:
+        met = met & F.coalesce(expression(e, scope).cast("boolean"), F.lit(False))
+    sure = F.assert_true(met, F.lit(f"{name} is not as expected")).isNull()
+    return [(path, F.when(sure, c)) for path, c in out]
 
 
 def read_records(records: dict[str, Record], name: str, data: bytes) -> list[dict]:
@@ -169,8 +220,13 @@ def read_records(records: dict[str, Record], name: str, data: bytes) -> list[dic
     return out
 
 
+@cache
+def compiled(expression: str):
+    return compile(ast.parse(expression, mode="eval"), "layout", "eval")
+
+
 def evaluate(expression: str, scope: dict) -> int:
-    found = eval(compile(ast.parse(expression, mode="eval"), "layout", "eval"), {"__builtins__": {}}, scope)  # noqa: S307  checked by check()
+    found = eval(compiled(expression), {"__builtins__": {}}, scope)  # noqa: S307  checked by check()
     if isinstance(found, int) and not -(1 << 63) <= found < 1 << 63:
         raise ValueError(f"{expression} does not fit 64 bits")
     return found
@@ -192,8 +248,9 @@ def scan(files: DataFrame, content: str, keys: list[str], description: str, reco
     def run(batches):
         records = parse(description)
         for rows in batches:
-            for r in rows.to_dict("records"):
-                found = read_records(records, record, bytes(r[content]))
-                yield pd.DataFrame({**{f.name: [r[f.name]] * len(found) for f in kept}, "pos": range(len(found)), "fields": [json.dumps(plain(x)) for x in found]})
+            found = [read_records(records, record, bytes(raw)) for raw in rows[content]]
+            times = [len(x) for x in found]
+            out = {f.name: rows[f.name].repeat(times).to_numpy() for f in kept}
+            yield pd.DataFrame({**out, "pos": [i for n in times for i in range(n)], "fields": [json.dumps(plain(x)) for some in found for x in some]})
 
     return files.mapInPandas(run, schema)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,63 +40,74 @@ def json_restore(skeleton: Column, tokens: Column) -> Column:
     return F.array_join(F.zip_with(gaps, tokens, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
 
-def csv_tokens(content: str, separator: str = ",", null_aware: bool = False) -> list[tuple[str, str]]:
-    """(kind, text) with kinds field, sep and newline; joined they are the content.
+def _outside(stops: str) -> str:
+    """Regular expression of a stretch up to one of stops, over quoted parts whole; possessive, so that long ones need no stack."""
+    return f'[^"{stops}]*+(?:"[^"]*+"[^"{stops}]*+)*+'
+
+
+def csv_rows(content: Column) -> Column:
+    """Array of the rows of a text with their line ends; line ends within quotes stay. Unclosed quotes are an error."""
+    sure = F.assert_true(F.length(content) - F.length(F.translate(content, '"', "")) - 2 * F.regexp_count(content, F.lit('"[^"]*+"')) == 0, F.lit("unclosed quote"))
+    found = F.regexp_extract_all(content, F.lit("(" + _outside("\n") + r")(?:\n|\z)"), F.lit(0))
+    return F.when(sure.isNull(), F.filter(found, lambda r: r != ""))
+
+
+def csv_fields(row: Column, separator: str = ",") -> Column:
+    """Array of the fields of a row, with their quotes, empty ones too."""
+    import re
+
+    sep = re.escape(separator)
+    return F.regexp_extract_all(F.concat(F.lit(separator), row), F.lit(f"{sep}({_outside(sep + chr(10))})"), F.lit(1))
+
 
-    A quoted field runs to its closing quote and keeps its quotes. Only \\n ends a row, \\r stays in its field. In null-aware mode
-    consecutive separators are one token and empty fields are left out. Unclosed quotes, and rows of unequal width outside of
-    null-aware mode, are errors.
+def csv_lex(files: DataFrame, content: str, keys: list[str], separator: str = ",", null_aware: bool = False) -> DataFrame:
+    """(keys, pos, row, col, kind, token) of whole texts, with built-in functions only; kinds are field, sep and newline.
+
+    The tokens in order are the text again. A quoted field runs to its closing quote and keeps its quotes. Only \\n ends a row,
+    \\r stays in its field. Fields are tokens also where they are empty, but after a separator that ends the text. In
+    null-aware mode consecutive separators are one token and empty fields are none, but the last of a row after a separator.
+    Unclosed quotes, and rows that end in \\n of another number of fields than the first, are errors. A separator or line end
+    has the column of the field before it.
     """
-    out: list[tuple[str, str]] = []
-    columns, width, at, n = 0, None, 0, len(content)
-    while at < n:
-        end = at
-        while end < n and content[end] not in (separator, "\n"):
-            if content[end] == '"':
-                end = content.find('"', end + 1)
-                if end < 0:
-                    raise ValueError("unclosed quote")
-            end += 1
-        if end > at or not null_aware:
-            out.append(("field", content[at:end]))
-        columns += 1
-        if end == n:
-            break
-        if content[end] == "\n":
-            if width is not None and width != columns and not null_aware:
-                raise ValueError("rows of unequal width")
-            width, columns = width or columns, 0
-            out.append(("newline", "\n"))
-            at = end + 1
+    rows = files.select(*keys, csv_rows(F.coalesce(F.col(content), F.lit(""))).alias("_rows"))
+
+    def token(row, col, kind: str, text: Column) -> Column:
+        return F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), F.lit(kind).alias("kind"), text.alias("token"))
+
+    def tokens(row: Column, i: Column) -> Column:
+        fields, ended = csv_fields(row, separator), row.endswith("\n")
+        last = F.size(fields) - 1
+        end = F.when(ended, F.array(token(i, last, "newline", F.lit("\n")))).otherwise(F.array())
+        if null_aware:
+            there = F.filter(F.sequence(F.lit(0), last), lambda j: (F.get(fields, j) != "") | (j == last) & (j > 0))
+            before = F.concat(F.array(F.lit(0)), there)
+            body = F.flatten(F.zip_with(there, F.slice(before, 1, F.size(there)), lambda j, b: F.concat(F.when(j > b, F.array(token(i, b, "sep", F.repeat(F.lit(separator), j - b)))).otherwise(F.array()), F.when((F.get(fields, j) != "") | ended, F.array(token(i, j, "field", F.get(fields, j)))).otherwise(F.array()))))
         else:
-            stop = end + 1
-            while null_aware and stop < n and content[stop] == separator:
-                stop += 1
-            out.append(("sep", content[end:stop]))
-            at = stop
-            if at == n and not null_aware:
-                out.append(("field", ""))
-    return out
+            pairs = F.flatten(F.transform(fields, lambda f, j: F.array(token(i, j - 1, "sep", F.lit(separator)), token(i, j, "field", f))))
+            body = F.slice(pairs, 2, F.size(pairs) - 1 - (~ended & (last > 0) & (F.get(fields, last) == "")).cast("int"))
+        return F.concat(body, end)
 
+    width = F.size(csv_fields(F.get("_rows", F.lit(0)), separator))
+    even = F.forall("_rows", lambda r: ~r.endswith("\n") | (F.size(csv_fields(r, separator)) == width))
+    sure = F.when(F.assert_true(even, F.lit("rows of unequal width")).isNull(), F.flatten(F.transform("_rows", tokens)))
+    return rows.select(*keys, F.posexplode(sure).alias("pos", "_t")).select(*keys, F.col("pos").cast("long").alias("pos"), "_t.*")
 
-def csv_lex(files: DataFrame, content: str, keys: list[str], separator: str = ",", null_aware: bool = False) -> DataFrame:
-    """(keys, pos, row, col, kind, token) of whole texts."""
-    kept = [f for f in files.schema if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", pos long, row long, col long, kind string, token string"
-
-    def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.to_dict("records"):
-                out, row, col = [], 0, 0
-                for pos, (kind, token) in enumerate(csv_tokens(r[content] or "", separator, null_aware)):
-                    out.append((pos, row, col, kind, token))
-                    if kind == "sep":
-                        col += len(token) if null_aware else 1
-                    elif kind == "newline":
-                        row, col = row + 1, 0
-                yield pd.DataFrame(out, columns=["pos", "row", "col", "kind", "token"]).assign(**{f.name: r[f.name] for f in kept})[[*[f.name for f in kept], "pos", "row", "col", "kind", "token"]]
-
-    return files.mapInPandas(lex, schema)
+
+def csv_dispatch(tokens: DataFrame, keys: list[str], header: bool = True) -> dict[str, DataFrame]:
+    """Streams of csv_lex's tokens: `header` (all of row 0), `fields` (keys, pos, row, tag: the column, field), `separators` (with line ends).
+
+    With the positions that all of them keep, csv_collect gives the texts again; fields of one tag are a stream for a cluster.
+    """
+    body = tokens.where("row > 0") if header else tokens
+    out = {"fields": body.where("kind = 'field'").select(*keys, "pos", "row", F.col("col").alias("tag"), F.col("token").alias("field")), "separators": body.where("kind <> 'field'").select(*keys, "pos", "token")}
+    return out | ({"header": tokens.where("row = 0").select(*keys, "pos", "token")} if header else {})
+
+
+def csv_collect(streams: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, content) again from the streams of csv_dispatch."""
+    whole = streams["separators"].union(streams["fields"].select(*keys, "pos", F.col("field").alias("token")))
+    whole = whole.union(streams["header"]) if "header" in streams else whole
+    return whole.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("content"))
 
 
 def csv_melt(lines: DataFrame, line: str, keys: list[str], separator: str = ",") -> DataFrame:
