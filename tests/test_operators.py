@@ -70,11 +70,85 @@ def test_quantize(spark, v):
     assert r[3] == (v if v < 16 else v.bit_length() - 1 + 12)
 
 
+RANGES = {
+    "constant": ([5] * 500, []),
+    "one range": ([i * 37 % 100 for i in range(1000)], []),
+    "ramp": (list(range(2000)), []),
+    "noisy ramp": ([i * 20 + i * 7919 % 100 for i in range(2000)], []),
+    "two": ([i % 10 for i in range(200)] + [5000 + i % 10 for i in range(200)], [200]),
+    "two, within a block": ([i % 10 for i in range(203)] + [5000 + i % 10 for i in range(301)], [203]),
+    "three, down and up": ([9000 + i % 50 for i in range(300)] + [i % 50 for i in range(310)] + [20_000 + i % 50 for i in range(300)], [300, 610]),
+    "level, small gap": ([i * 37 % 100 for i in range(320)] + [130 + i * 37 % 100 for i in range(320)], [320]),
+    "constants": ([1] * 256 + [2] * 256, [256]),
+    "back again": ([i % 5 for i in range(256)] + [10**6 + i % 5 for i in range(256)] + [i % 5 for i in range(256)], [256, 512]),
+    "far apart": ([-(1 << 63) + i % 5 for i in range(256)] + [(1 << 63) - 6 + i % 5 for i in range(256)], [256]),
+    "above doubles": ([(1 << 60) + i % 3 for i in range(256)] + [(1 << 60) + 8 + i % 3 for i in range(256)], [256]),
+    "one outlier": ([i % 10 for i in range(300)] + [10**9] + [i % 10 for i in range(300)], []),
+    "short": ([0] * 31 + [9] * 31, []),
+    "empty": ([], []),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RANGES))
+def test_range_cuts(name):
+    data, cuts = RANGES[name]
+    assert numeric.range_cuts(np.asarray(data, "int64"), 32) == cuts
+
+
 def test_split_byrange(spark):
-    two = [i % 10 for i in range(200)] + [5000 + i % 10 for i in range(200)]
-    assert [(r.first_ord, r.last_ord) for r in numeric.split_byrange(stream(spark, two), "v", BY, "ord").orderBy("segment").collect()] == [(0, 199), (200, 399)]
-    ramp = numeric.split_byrange(stream(spark, list(range(400))), "v", BY, "ord").count()
-    assert ramp == 1
+    data, _ = RANGES["three, down and up"]
+    out = numeric.split_byrange(stream(spark, data), "v", BY, "ord").orderBy("segment").collect()
+    assert [(r.first_ord, r.last_ord, r.low, r.high) for r in out] == [(0, 299, 9000, 9049), (300, 609, 0, 49), (610, 909, 20_000, 20_049)]
+
+
+@pytest.mark.parametrize("data", [[0, 0, 12, 30], [0, 0], [7], [-6, 9]])
+def test_divide_by_gcd(spark, data):
+    rows = numeric.divide_by_gcd(stream(spark, data), "v", BY)
+    assert values(rows.withColumn("w", numeric.divide_by_decode(F.col("quotient"), F.col("divisor"))), "w") == data
+    assert rows.first()["divisor"] == max(1, np.gcd.reduce(data))
+
+
+def test_sentinel_num(spark):
+    data = [1, 255, 300, 7, 0]
+    masked, large = numeric.sentinel_num(stream(spark, data), "v", F.col("v") > 255, 255, ["chunk_id", "ord"])
+    assert values(masked, "masked") == [1, 255, 255, 7, 0] and values(large) == [255, 300]
+    assert values(numeric.sentinel_num_decode(masked, large, "v", ["chunk_id", "ord"])) == data
+
+
+def test_dispatch_string(spark):
+    data = ["a", "bb", "", "a", "c"]
+    rows = stream(spark, data, "string")
+    indices, streams = strings.dispatch_string(rows, "v", F.length("v") % 3, 3, BY, "ord")
+    assert values(indices, "index") == [1, 2, 0, 1, 1] and [s.count() for s in streams] == [1, 3, 1]
+    assert values(strings.dispatch_string_decode(indices, streams, "v", BY, "ord")) == data
+    with pytest.raises(Exception, match="out of range"):
+        strings.dispatch_string(rows, "v", F.length("v"), 2, BY, "ord")[0].collect()
+
+
+def test_float_streams(spark):
+    data = ["1.5", "2", "-0.0", "007", "1e5", "x", "", "100.0", "0.1", "123456789012345678"]
+    good, bad = strings.float_streams(stream(spark, data, "string"), "v", BY, "ord")
+    assert {"007", "x", ""} <= set(values(bad)) and good.count() + bad.count() == len(data)
+    assert values(strings.float_texts(good, bad, "v", BY, "ord")) == data
+
+
+@pytest.mark.parametrize("split", range(9))
+def test_mux(spark, split):
+    rows = spark.createDataFrame([(i, 3 + j) for i in (0, 1, 7, 255, 300) for j in (0, 2, 15, 400)], "l long, m long")
+    byte, more, rest = bits.mux_lengths(F.col("l"), F.col("m"), split, 3)
+    back = bits.mux_decode(byte, more, rest, split, 3)
+    assert rows.where((back[0] != F.col("l")) | (back[1] != F.col("m")) | ~byte.between(0, 255)).count() == 0
+
+
+@pytest.mark.parametrize("costs", [["a", "b"], ["a", "b", "c"]])
+def test_pareto(spark, costs):
+    rng = np.random.default_rng(2)
+    data = [(i, int(g), *map(int, rng.integers(0, 12, 3))) for i, g in enumerate(rng.integers(0, 3, 200))]
+    df = spark.createDataFrame(data, "k long, g long, a long, b long, c long").repartition(5)
+    for by in ([], ["g"]):
+        at = [2 + "abc".index(c) for c in costs]
+        better = lambda q, r: (not by or q[1] == r[1]) and all(q[i] <= r[i] for i in at) and any(q[i] < r[i] for i in at)
+        assert {r.k for r in search.pareto_front(df, costs, "k", by).collect()} == {r[0] for r in data if not any(better(q, r) for q in data)}
 
 
 def test_dominant(spark):

@@ -66,27 +66,35 @@ def size_estimates(counts: DataFrame, value: str, by: list[str], n: str = "n") -
     )
 
 
-def features(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(stream, n, cardinality, range_size, mean, variance, stddev, skewness, kurtosis): sample variance, excess kurtosis; 0 where undefined."""
+#: Bytes of a value by type.
+WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
+
+
+def features(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
+    """(stream, n, width, cardinality, cardinality_low, cardinality_high, range_size, mean, variance, stddev, skewness, kurtosis).
+
+    Sample variance, excess kurtosis; 0 where undefined. Cardinality and its bounds as in cardinality().
+    """
+    distinct = cardinality(df, columns, exact).select("stream", "cardinality", F.col("low").alias("cardinality_low"), F.col("high").alias("cardinality_high"))
 
     def one(c: str) -> Column:
         x = F.col(c).cast("double")
         zero = F.lit(0.0)
-        parts = {"n": F.count(x), "cardinality": F.approx_count_distinct(x), "range_size": F.max(x) - F.min(x), "mean": F.avg(x), "variance": F.coalesce(F.var_samp(x), zero), "stddev": F.coalesce(F.stddev_samp(x), zero), "skewness": F.coalesce(F.nanvl(F.skewness(x), zero), zero), "kurtosis": F.coalesce(F.nanvl(F.kurtosis(x), zero), zero)}
+        parts = {"n": F.count(x), "width": F.lit(WIDTH.get(df.schema[c].dataType.simpleString(), 8)), "range_size": F.max(x) - F.min(x), "mean": F.avg(x), "variance": F.coalesce(F.var_samp(x), zero), "stddev": F.coalesce(F.stddev_samp(x), zero), "skewness": F.coalesce(F.nanvl(F.skewness(x), zero), zero), "kurtosis": F.coalesce(F.nanvl(F.kurtosis(x), zero), zero)}
         return F.struct(F.lit(c).alias("stream"), *[v.alias(k) for k, v in parts.items()]).alias(c)
 
-    return df.agg(*[one(c) for c in columns]).select(F.explode(F.array(*columns)).alias("_r")).select("_r.*")
+    return df.agg(*[one(c) for c in columns]).select(F.explode(F.array(*columns)).alias("_r")).select("_r.*").join(distinct, "stream")
 
 
-def strides(df: DataFrame, value: str, by: list[str], ord_col: str, most: int = 64) -> DataFrame:
-    """(by, distance, matches): distances to the last equal value, up to most; peaks at multiples of a stride show its period."""
+def strides(df: DataFrame, value: str, by: list[str], ord_col: str) -> DataFrame:
+    """(by, distance, matches): distances to the last equal value; peaks at multiples of a stride show its period."""
     gap = F.col(ord_col) - F.lag(ord_col).over(Window.partitionBy(*by, value).orderBy(ord_col))
-    return df.select(*by, gap.alias("distance")).where(F.col("distance").between(1, most)).groupBy(*by, "distance").agg(F.count("*").alias("matches"))
+    return df.select(*by, gap.alias("distance")).where("distance >= 1").groupBy(*by, "distance").agg(F.count("*").alias("matches"))
 
 
-def dimensionality(df: DataFrame, value: str, by: list[str], ord_col: str, most: int = 64) -> DataFrame:
+def dimensionality(df: DataFrame, value: str, by: list[str], ord_col: str) -> DataFrame:
     """(by, stride, share): the distance with most matches and its share of all matches."""
-    rows = strides(df, value, by, ord_col, most)
+    rows = strides(df, value, by, ord_col)
     best = rows.groupBy(*by).agg(F.max(F.struct("matches", -F.col("distance"))).alias("b"), F.sum("matches").alias("all"))
     return best.select(*by, (-F.col("b.col2")).alias("stride"), (F.col("b.matches") / F.col("all")).alias("share"))
 

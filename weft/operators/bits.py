@@ -147,6 +147,13 @@ def mux_lengths(literals: Column, matches: Column, split: int, bias: int = 0) ->
     return byte, F.when(literals >= top, literals - top), F.when(match >= other, match - other)
 
 
+def mux_decode(byte: Column, literal_rest: Column, match_rest: Column, split: int, bias: int = 0) -> tuple[Column, Column]:
+    """(literal length, match length) again."""
+    top = (1 << split) - 1
+    literals = byte.bitwiseAND(F.lit(top)) + F.coalesce(literal_rest, F.lit(0))
+    return literals, F.shiftrightunsigned(byte, split) + F.coalesce(match_rest, F.lit(0)) + bias
+
+
 def best_mux_split(df: DataFrame, literals: str, matches: str, bias: int = 0) -> DataFrame:
     """(split, overflows) for each split point; one aggregation for all nine."""
     counts = [F.sum((F.col(literals) >= (1 << s) - 1).cast("long") + (F.col(matches) - bias >= (1 << 8 - s) - 1).cast("long")).alias(str(s)) for s in range(9)]

@@ -86,6 +86,17 @@ def gcd_by(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(whole(F.collect_set("g")).alias("gcd"))
 
 
+def divide_by_gcd(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Adds divisor (the greatest common divisor of the group, 1 if all values are 0 or null) and quotient; divide_by_decode gives value again."""
+    found = gcd_by(df, value, by).select(*by, F.greatest("gcd", F.lit(1)).alias("divisor"))
+    joined = df.join(found, by, "left") if by else df.crossJoin(found)
+    return joined.withColumn("divisor", F.coalesce("divisor", F.lit(1).cast("long"))).withColumn("quotient", F.expr(f"`{value}` div divisor"))
+
+
+def divide_by_decode(quotient: Column, divisor: Column) -> Column:
+    return quotient * divisor
+
+
 # -- quantisation --------------------------------------------------------------------------------------------------------
 
 
@@ -145,12 +156,23 @@ def sentinel_byte(df: DataFrame, value: str, keys: list[str]) -> tuple[DataFrame
     return df.select(*keys, F.least(F.col(value), F.lit(255)).alias("small")), df.where(F.col(value) >= 255).select(*keys, value)
 
 
+def sentinel_columns(value: Column) -> tuple[Column, Column]:
+    """(small, large or null) of one row, for both streams from one scan."""
+    return F.least(value, F.lit(255)), F.when(value >= 255, value)
+
+
 def sentinel_byte_decode(small: DataFrame, large: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return small.join(large, keys, "left").select(*keys, F.coalesce(F.col(value), F.col("small").cast("long")).alias(value))
 
 
-def sentinel_num(value: Column, exception: Column, sentinel: int) -> Column:
-    return F.when(exception, F.lit(sentinel)).otherwise(value)
+def sentinel_num(df: DataFrame, value: str, exception: Column, sentinel: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, masked: sentinel at the exceptions), (keys, value of exceptions). A value that is the sentinel is an exception too."""
+    there = exception | (F.col(value) == sentinel)
+    return df.select(*keys, F.when(there, F.lit(sentinel)).otherwise(F.col(value)).alias("masked")), df.where(there).select(*keys, value)
+
+
+def sentinel_num_decode(masked: DataFrame, exceptions: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    return masked.join(exceptions, keys, "left").select(*keys, F.coalesce(F.col(value), F.col("masked").cast("long")).alias(value))
 
 
 def sparse(df: DataFrame, value: str, by: list[str], order: list[str], dominant: int = 0) -> DataFrame:
@@ -206,62 +228,74 @@ def merge_sorted_decode(merged: DataFrame, value: str, by: list[str], most: int
     return rows.where(F.call_function("shiftright", F.col("runs"), F.col("run")).bitwiseAND(F.lit(1)) == 1).select(*by, "run", value)
 
 
-#: Least segment of one-byte, two-byte and wider values; blocks compared; amplitude ratio of level data.
-SEGMENT_LEAST, COMPARED, LEVEL = {1: 128, 2: 64}, 7, 1.3
-SEGMENT_WIDE = 32
+#: Least segment of one-byte, two-byte and wider values; blocks compared on each side; how often the usual amplitude a
+#: gap has to be; tenths of the widest block that a level stretch may span.
+SEGMENT_LEAST, SEGMENT_WIDE = {1: 128, 2: 64}, 32
+COMPARED, GAP, LEVEL_TENTHS = 7, 2, 13
 
 
-def split_byrange(df: DataFrame, value: str, by: list[str], ord_col: str, width: int = 4) -> DataFrame:
-    """(by, segment, first_ord, last_ord, low, high): where neighbouring stretches of a chunk take up separate value ranges.
+def range_cuts(x: np.ndarray, least: int) -> list[int]:
+    """Positions where integers x pass from one value range to another that it does not meet.
 
-    A chunk, which bounds the task, is reduced to the ranges of blocks of half the least segment, and those are walked once.
-    A boundary lies between blocks whose ranges do not meet if the gap is over twice the usual amplitude around it, or if
-    both sides are level. A block that reaches over a boundary is cut where its rows change sides.
+    x is seen as blocks of half the least segment. A cut lies behind block b if the up to COMPARED blocks up to b since the
+    last cut and the COMPARED blocks from b + 2 on are ranges that do not meet, and the gap or the block between is over GAP
+    times as wide as the widest block of both, or neither side drifts. It is placed where the gap between all of the segment
+    before and all behind is widest, two blocks around.
     """
-    least = SEGMENT_LEAST.get(width, SEGMENT_WIDE)
-    block = least // 2
+    size = max(least // 2, 1)
+    firsts = np.arange(0, len(x), size)
+    n = len(firsts)
+    if len(x) < 2 * least or n < 3:
+        return []
+    low, high = np.minimum.reduceat(x, firsts).tolist(), np.maximum.reduceat(x, firsts).tolist()
+    wide = min(COMPARED, (n - 1) // 2)
+    behind, b, start = [], wide - 1, 0
+    while b + wide + 1 < n:
+        left, right = slice(max(b - wide + 1, start), b + 1), slice(b + 2, b + wide + 2)
+        if b + 1 - left.start < min(wide, 2):
+            b += 1
+            continue
+        sides = [(min(low[s]), max(high[s]), max(h - w for w, h in zip(low[s], high[s]))) for s in (left, right)]
+        gap = max(sides[1][0] - sides[0][1], sides[0][0] - sides[1][1])
+        usual = max(sides[0][2], sides[1][2])
+        level = all(10 * (top - bottom) <= LEVEL_TENTHS * widest for bottom, top, widest in sides)
+        if gap > 0 and (usual == 0 or gap > GAP * usual or high[b + 1] - low[b + 1] > GAP * usual or level):
+            behind.append(b)
+            start = b + 2
+            b += 2
+        else:
+            b += 1
+    cuts = [0]
+    for i, b in enumerate(behind):
+        end = min(len(x), (behind[i + 1] + 1) * size) if i + 1 < len(behind) else len(x)
+        zone, stop = max(cuts[-1] + 1, (b - 1) * size), min(len(x), (b + 3) * size, end)
+        before, after = x[cuts[-1] : stop], x[zone:end][::-1]
+        below, above = np.maximum.accumulate(before)[zone - cuts[-1] - 1 : -1], np.minimum.accumulate(before)[zone - cuts[-1] - 1 : -1]
+        least_after, most_after = np.minimum.accumulate(after)[::-1][: stop - zone], np.maximum.accumulate(after)[::-1][: stop - zone]
+        up, down = least_after > below, most_after < above
+        gaps = np.where(up, least_after.view("u8") - below.view("u8"), np.where(down, above.view("u8") - most_after.view("u8"), np.uint64(0)))
+        cut = zone + int(gaps.argmax()) if (up | down).any() else (b + 1) * size
+        if cut - cuts[-1] >= least and len(x) - cut >= least:
+            cuts.append(cut)
+    return cuts[1:]
+
+
+def split_byrange(df: DataFrame, value: str, by: list[str], ord_col: str, width: int = 4, least: int | None = None) -> DataFrame:
+    """(by, segment, first_ord, last_ord, low, high): where stretches of a chunk take up separate value ranges (range_cuts); a chunk bounds the task."""
+    least = least or SEGMENT_LEAST.get(width, SEGMENT_WIDE)
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(ord_col)
-        x, place = rows[value].to_numpy("float64"), rows[ord_col].to_numpy("int64")
-        firsts = np.arange(0, len(x), block)
-        low, high = np.minimum.reduceat(x, firsts), np.maximum.reduceat(x, firsts)
-        width_of = high - low
-        cuts = [0]
-
-        def apart(i: int, j: int) -> bool:
-            """Whether block i, the last of one side, and block j, the first of the other, are in separate ranges."""
-            gap = max(low[j] - high[i], low[i] - high[j])
-            if gap <= 0:
-                return False
-            left, right = slice(max(0, i + 1 - COMPARED), i + 1), slice(j, j + COMPARED)
-            usual = float(np.median(np.concatenate([width_of[left], width_of[right]])))
-
-            def level(s: slice) -> bool:
-                return high[s].max() - low[s].min() <= LEVEL * max(1.0, float(width_of[s].max()))
-
-            return usual == 0 or gap > 2 * usual or (level(left) and level(right))
-
-        i = 1
-        while i < len(firsts):
-            if firsts[i] - cuts[-1] >= least and apart(i - 1, i):
-                cuts.append(int(firsts[i]))
-            elif i + 1 < len(firsts) and firsts[i] - cuts[-1] >= least - block and apart(i - 1, i + 1) and low[i] <= max(low[i - 1], low[i + 1]) and high[i] >= min(high[i - 1], high[i + 1]):
-                middle = (max(low[i - 1], low[i + 1]) + min(high[i - 1], high[i + 1])) / 2
-                own = x[firsts[i] : firsts[i + 1]]
-                there = own > middle if low[i + 1] > high[i - 1] else own < middle
-                stay = np.nonzero(~there)[0]
-                cuts.append(int(firsts[i] + (stay[-1] + 1 if len(stay) else 0)))
-                i += 1
-            i += 1
+        x, place = rows[value].to_numpy("int64"), rows[ord_col].to_numpy("int64")
+        cuts = [0, *range_cuts(x, least)]
         ends = [*cuts[1:], len(x)]
         out = pd.DataFrame({"segment": np.arange(len(cuts)), "first_ord": place[cuts], "last_ord": [place[e - 1] for e in ends], "low": [x[s:e].min() for s, e in zip(cuts, ends)], "high": [x[s:e].max() for s, e in zip(cuts, ends)]})
         for c in reversed(by):
             out.insert(0, c, rows[c].iloc[0])
         return out
 
-    return df.select(*by, ord_col, value).groupBy(*by).applyInPandas(walk, keys + ", segment long, first_ord long, last_ord long, low double, high double")
+    return df.select(*by, ord_col, value).groupBy(*by).applyInPandas(walk, keys + ", segment long, first_ord long, last_ord long, low long, high long")
 
 
 def dedup(df: DataFrame, columns: list[str], out: str, trusted: bool = False) -> DataFrame:

@@ -6,25 +6,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..spec import within
+from ..spec import numbered, within
 
 # -- dictionaries --------------------------------------------------------------------------------------------------------
 
 
 def alphabet_sorted(df: DataFrame, value: str) -> DataFrame:
-    """(value, idx): distinct values in ascending order. The distinct values, not the rows, are ranked."""
-    return df.select(value).distinct().select(value, (F.row_number().over(Window.orderBy(value)) - 1).cast("long").alias("idx"))
+    """(value, idx): distinct values in ascending order. The distinct values, not the rows, are ranked, by many tasks."""
+    return numbered(df.select(value).distinct(), [value], "idx").select(value, "idx")
 
 
 def alphabet_first(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """(value, idx): distinct values by first occurrence in the unique order."""
     firsts = df.groupBy(value).agg(F.min(F.struct(*order)).alias("_first"))
-    return firsts.select(value, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("idx"))
+    return numbered(firsts, ["_first"], "idx").select(value, "idx")
 
 
 def alphabet_given(values: DataFrame, value: str, rank: str) -> DataFrame:
     """(value, idx) of the user's own order."""
-    return values.select(value, (F.row_number().over(Window.orderBy(rank)) - 1).cast("long").alias("idx"))
+    return numbered(values, [rank], "idx").select(value, "idx")
 
 
 def tokenize(df: DataFrame, value: str, alphabet: DataFrame) -> DataFrame:
@@ -96,6 +96,22 @@ def parse_float(text: Column) -> Column:
     return F.when((shown == text) | (F.regexp_replace(shown, r"\.0\z", "") == text) & text.rlike(r"\A-?(0|[1-9][0-9]*)\z"), value)
 
 
+def float_streams(df: DataFrame, text: str, by: list[str], position: str) -> tuple[DataFrame, DataFrame]:
+    """(by, position, value) of strings that print the same again, (by, position, text) of the exceptions; null strings are in neither."""
+    rows = df.where(F.col(text).isNotNull()).withColumn("_value", parse_float(F.col(text)))
+    good = rows.where("_value is not null")
+    whole = F.col(text).rlike(r"\A-?(0|[1-9][0-9]*)\z")
+    return good.select(*by, position, F.col("_value").alias("value"), whole.alias("whole")), rows.where("_value is null").select(*by, position, text)
+
+
+def float_texts(values: DataFrame, exceptions: DataFrame, text: str, by: list[str], position: str) -> DataFrame:
+    """(by, position, text) again from float_streams."""
+    x = F.col("value")
+    dotted = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.concat(F.floor(x).cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+    shown = F.when(F.col("whole"), F.regexp_replace(dotted, r"\.0\z", "")).otherwise(dotted)
+    return values.select(*by, position, shown.alias(text)).union(exceptions.select(*by, position, text))
+
+
 # -- layout --------------------------------------------------------------------------------------------------------------
 
 
@@ -164,6 +180,25 @@ def dispatch(df: DataFrame, tag: Column, tags: int) -> DataFrame:
     return df.withColumn("tag", F.when(sure.isNull(), tag))
 
 
+def dispatch_string(df: DataFrame, text: str, index: Column, outputs: int, by: list[str], position: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(by, position, index) and, for each output, (by, place: 0 and on within chunk and output, text). Indices outside of 0 to outputs - 1 fail."""
+    if not 0 < outputs < 1 << 16:
+        raise ValueError("1 to 65535 outputs")
+    rows = dispatch(df, index, outputs).select(*by, position, F.col("tag").cast("int").alias("index"), text)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by, "index").orderBy(position)) - 1)
+    return rows.select(*by, position, "index"), [rows.where(F.col("index") == i).select(*by, "place", text) for i in range(outputs)]
+
+
+def dispatch_string_decode(indices: DataFrame, streams: list[DataFrame], text: str, by: list[str], position: str) -> DataFrame:
+    """(by, position, text): each index takes the next string of its output."""
+    placed = indices.withColumn("place", F.row_number().over(Window.partitionBy(*by, "index").orderBy(position)) - 1)
+    whole = None
+    for i, s in enumerate(streams):
+        part = s.withColumn("index", F.lit(i))
+        whole = part if whole is None else whole.unionByName(part)
+    return placed.join(whole, [*by, "index", "place"]).select(*by, position, text)
+
+
 def null_aware(text: Column) -> Column:
     """Channel 0 for empty strings, 1 for others."""
     return F.when(text == "", 0).otherwise(1)

@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pareto_front(df: DataFrame, costs: list[str], key: str, by: list[str] | None = None) -> DataFrame:
-    """Rows that no other row of the group beats in one cost without losing in another. Group sizes are those of candidate lists."""
+    """Rows that no other row of the group beats in one cost without losing in another.
+
+    Two costs: a row stays if its second cost is the least of its first, and below that of every smaller first cost, a running
+    minimum over the distinct first costs. More costs: batches drop what their own rows beat, the rest are compared.
+    """
     by = by or []
+    if len(costs) == 2:
+        first, second = costs
+        least = df.groupBy(*by, first).agg(F.min(second).alias("_least"))
+        before = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+        front = least.withColumn("_before", F.min("_least").over(before)).where("_before is null or _least < _before").drop("_before")
+        return df.join(front, [*by, first]).where(F.col(second) == F.col("_least")).select(*df.columns)
+
+    def own_front(batches):
+        for rows in batches:
+            kept = [g.index[ranks(g[costs].to_numpy(float)) == 0] for _, g in (rows.groupby(by, dropna=False) if by else [(None, rows)])] if len(rows) else []
+            yield rows.loc[[i for some in kept for i in some]]
+
+    df = df.mapInPandas(own_front, df.schema)
     a, b = df.alias("a"), df.select(*by, *costs, key).alias("b")
     same = F.lit(True)
     for c in by:

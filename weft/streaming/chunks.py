@@ -12,7 +12,10 @@ from ..plans.plan import Plan, encode
 
 
 def encode_stream(stream: DataFrame, plan: Plan, path: str, checkpoint: str):
-    """Start a query that writes every micro-batch as chunk `batch` under path; a batch that is run again replaces its own."""
+    """Start a query that writes every micro-batch under path, column `batch`; a batch that is run again replaces its own.
+
+    The plan's chunks are those of its `by`, batch among them; further columns there cut a large batch into many chunks.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         encode(batch.withColumn("batch", F.lit(number).cast("long")), plan).write.mode("overwrite").parquet(f"{path}/batch={number}")
