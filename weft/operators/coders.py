@@ -222,10 +222,9 @@ def bitpack_decode(data: bytes, width: int = 1) -> bytes:
 
 
 def constant_encode(raw: bytes, width: int = 1) -> bytes:
-    x = numbers(raw, width)
-    if not len(x) or (x != x[0]).any():
+    if not raw or raw != raw[:width] * (len(raw) // width):
         raise ValueError("not constant")
-    return struct.pack("<I", len(x)) + x[:1].tobytes()
+    return struct.pack("<I", len(raw) // width) + raw[:width]
 
 
 def constant_decode(data: bytes, width: int = 1) -> bytes:
