@@ -30,11 +30,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, path: str | None = None, level: int = 3) -> DataFrame:
-    """Write df as Parquet in the shared folder, compressed by zstd at the given level, and read it again: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, path: str | None = None, level: int = 3, page: int = 1 << 20) -> DataFrame:
+    """Write df as Parquet in the shared folder, compressed by zstd at the given level in pages of about the given bytes, and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
