@@ -42,7 +42,7 @@ def shred(df: DataFrame, column: str, keys: list[str]) -> dict[str, DataFrame]:
             if isinstance(kind, ArrayType):
                 walk(rows.select(*keys, *places, F.posexplode("_v").alias(place, "_v")), kind.elementType, f"{name}[]", [*places, place])
             else:
-                entries = rows.select(*keys, *places, F.posexplode(F.array_sort(F.map_entries("_v"))).alias(place, "_e"))
+                entries = rows.select(*keys, *places, F.posexplode(F.transform(F.array_sort(F.map_keys("_v")), lambda k: F.struct(k.alias("key"), F.element_at("_v", k).alias("value")))).alias(place, "_e"))
                 walk(entries.withColumn("_v", F.col("_e.key")).drop("_e"), kind.keyType, f"{name}{{key}}", [*places, place])
                 walk(entries.withColumn("_v", F.col("_e.value")).drop("_e"), kind.valueType, f"{name}{{value}}", [*places, place])
         else:
