@@ -144,6 +144,15 @@ def gcd_column(spark, sf_dir):
     return numeric.gcd_by(table(spark, sf_dir, "part").withColumn("v", F.col("p_size") * 6), "v", ["p_brand"])
 
 
+@query("""
+WITH v AS (SELECT p_partkey, p_brand, (p_size * 6)::BIGINT AS v FROM part), g AS (SELECT p_brand, list_reduce(list(v), lambda a, b: gcd(a, b))::BIGINT AS divisor FROM v GROUP BY 1)
+SELECT p_partkey, divisor, v // divisor AS quotient, v AS decoded FROM v JOIN g USING (p_brand)
+""")
+def divide_by_gcd(spark, sf_dir):
+    rows = numeric.divide_by_gcd(table(spark, sf_dir, "part").withColumn("v", (F.col("p_size") * 6).cast("long")), "v", ["p_brand"])
+    return rows.select("p_partkey", "divisor", "quotient", numeric.divide_by_decode(F.col("quotient"), F.col("divisor")).alias("decoded"))
+
+
 LOG = "(length(ltrim(bin({v}), '0')) - 1)"
 
 
@@ -178,14 +187,26 @@ def partition_varbyte16(spark, sf_dir):
 
 @query("SELECT o_orderkey, least(o_custkey, 255) AS small, CASE WHEN o_custkey >= 255 THEN o_custkey END AS large, o_custkey AS decoded FROM orders")
 def sentinel_byte(spark, sf_dir):
+    small, large = numeric.sentinel_columns(F.col("o_custkey"))
+    rows = orders(spark, sf_dir).select("o_orderkey", small.alias("small"), large.alias("large"))
+    return rows.withColumn("decoded", F.coalesce("large", F.col("small").cast("long")))
+
+
+@query("SELECT o_orderkey, o_custkey AS decoded FROM orders")
+def sentinel_byte_decode(spark, sf_dir):
     small, large = numeric.sentinel_byte(orders(spark, sf_dir), "o_custkey", ["o_orderkey"])
-    decoded = numeric.sentinel_byte_decode(small, large, "o_custkey", ["o_orderkey"]).withColumnRenamed("o_custkey", "decoded")
-    return small.join(large.withColumnRenamed("o_custkey", "large"), "o_orderkey", "left").join(decoded, "o_orderkey")
+    return numeric.sentinel_byte_decode(small, large, "o_custkey", ["o_orderkey"]).withColumnRenamed("o_custkey", "decoded")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 4294967295 ELSE o_custkey END AS masked FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 4294967295 ELSE o_custkey END AS masked, o_custkey AS decoded FROM orders")
 def sentinel_num(spark, sf_dir):
-    return orders(spark, sf_dir).select("o_orderkey", numeric.sentinel_num(F.col("o_custkey"), F.col("o_custkey") % 7 == 0, (1 << 32) - 1).alias("masked"))
+    masked, large = numeric.sentinel_num(orders(spark, sf_dir), "o_custkey", F.col("o_custkey") % 7 == 0, (1 << 32) - 1, ["o_orderkey"])
+    return masked.join(numeric.sentinel_num_decode(masked, large, "o_custkey", ["o_orderkey"]).withColumnRenamed("o_custkey", "decoded"), "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0")
+def sentinel_num_exceptions(spark, sf_dir):
+    return numeric.sentinel_num(orders(spark, sf_dir), "o_custkey", F.col("o_custkey") % 7 == 0, (1 << 32) - 1, ["o_orderkey"])[1].select("o_orderkey")
 
 
 def sparse_sql(value: str, dominant: int) -> str:
@@ -213,12 +234,27 @@ def sparse_decode(spark, sf_dir):
     return numeric.sparse_decode(runs, ["chunk_id"]).groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT event_id // {CHUNK} AS chunk_id, event_id, user_id % 2 AS v FROM events),
+l AS (SELECT chunk_id, list(v ORDER BY event_id)[1:4096] AS vs FROM v GROUP BY 1),
+r AS (SELECT chunk_id, list_reduce(list_transform(vs, lambda x: {{'v': x, 'n': 1}}), lambda a, b: CASE WHEN a.n = 0 THEN b WHEN a.v = b.v THEN {{'v': a.v, 'n': a.n + 1}} ELSE {{'v': a.v, 'n': a.n - 1}} END) AS w FROM l)
+SELECT chunk_id, CASE WHEN w.n > 0 THEN w.v ELSE 0 END::BIGINT AS dominant FROM r
+""")
 def sparse_dominant_auto(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("v", F.col("user_id") % 2)
     return numeric.dominant_by(rows, "v", ["chunk_id"], ["event_id"])
 
 
+@query(f"SELECT event_id // {CHUNK} AS chunk_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 9 ELSE user_id % 2 END)::BIGINT AS total FROM events GROUP BY 1")
+def sparse_auto_decode(spark, sf_dir):
+    """Runs around the dominant value that each chunk's vote finds, and back."""
+    rows = events(spark, sf_dir).withColumn("v", F.when(F.col("event_type") == "click", 9).otherwise(F.col("user_id") % 2).cast("long"))
+    votes = numeric.dominant_by(rows, "v", ["chunk_id"], ["event_id"])
+    runs = numeric.sparse(rows.join(votes, "chunk_id").withColumn("v", F.col("v") - F.col("dominant")), "v", ["chunk_id"], ["event_id"])
+    back = numeric.sparse_decode(runs, ["chunk_id"]).join(votes, "chunk_id").withColumn("value", F.col("value") + F.col("dominant"))
+    return back.groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 MERGE = "event_id // 60"
 
 
@@ -238,9 +274,15 @@ def merge_sorted_decode(spark, sf_dir):
     return numeric.merge_sorted_decode(merge_sorted_bitset(spark, sf_dir), "v", ["chunk_id"]).groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
-@query()
+JUMPS = "user_id % 50 + event_id // 1024 % 3 * 100000"
+
+
+@query(f"""
+SELECT chunk_id, (event_id // 1024) % 4 AS segment, min(event_id) AS first_ord, max(event_id) AS last_ord, min(v)::BIGINT AS low, max(v)::BIGINT AS high
+FROM (SELECT event_id // {CHUNK} AS chunk_id, event_id, {JUMPS} AS v FROM events) GROUP BY 1, 2
+""")
 def split_byrange(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("v", F.col("user_id") % 50 + F.floor(F.col("event_id") / 700) % 3 * 100_000)
+    rows = events(spark, sf_dir).withColumn("v", F.expr("user_id % 50 + event_id div 1024 % 3 * 100000"))
     return numeric.split_byrange(rows, "v", ["chunk_id"], "event_id")
 
 
@@ -317,11 +359,36 @@ def bitsplit_float64(spark, sf_dir):
     return orders(spark, sf_dir).select("o_orderkey", fraction.alias("fraction"), exponent.alias("exponent"), sign.alias("sign"))
 
 
-@query()
-def mux_lengths(spark, sf_dir):
+OVER = "(CASE WHEN l_linenumber >= (1 << {s}) - 1 THEN 1 ELSE 0 END + CASE WHEN l_quantity::BIGINT - 1 >= (1 << (8 - {s})) - 1 THEN 1 ELSE 0 END)"
+
+
+@query(" UNION ALL ".join(f"SELECT {s} AS split, sum({OVER.format(s=s)})::BIGINT AS overflows FROM lineitem" for s in range(9)))
+def mux_split_overflows(spark, sf_dir):
     return bits.best_mux_split(lines(spark, sf_dir).withColumn("q", F.col("l_quantity").cast("long")), "l_linenumber", "q", 1)
 
 
+@query(f"SELECT {', '.join(LINE)}, least(l_linenumber, 7) | (least(l_quantity::BIGINT - 1, 31) << 3) AS byte, CASE WHEN l_linenumber >= 7 THEN l_linenumber - 7 END::BIGINT AS more, CASE WHEN l_quantity::BIGINT - 1 >= 31 THEN l_quantity::BIGINT - 32 END AS rest, l_linenumber::BIGINT AS literals, l_quantity::BIGINT AS matches FROM lineitem")
+def mux_lengths(spark, sf_dir):
+    rows = lines(spark, sf_dir).select(*LINE, F.col("l_linenumber").cast("long").alias("l"), F.col("l_quantity").cast("long").alias("m"))
+    byte, more, rest = bits.mux_lengths(F.col("l"), F.col("m"), 3, 1)
+    rows = rows.select(*LINE, byte.alias("byte"), more.cast("long").alias("more"), rest.cast("long").alias("rest"))
+    literals, matches = bits.mux_decode(F.col("byte"), F.col("more"), F.col("rest"), 3, 1)
+    return rows.withColumn("literals", literals.cast("long")).withColumn("matches", matches.cast("long"))
+
+
+@query("SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding) AS x FROM embeddings")
+def float32_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("b", bits.float_bits(F.col("x")))
+    return rows.select("vec_id", "pos", bits.float_from_bits(bits.reconstruct(*bits.deconstruct(F.col("b")))).alias("x"))
+
+
+@query("SELECT o_orderkey, o_totalprice::DOUBLE AS x, (o_totalprice < 0)::INT::BIGINT AS sign FROM orders")
+def bitsplit_float64_roundtrip(spark, sf_dir):
+    rows = orders(spark, sf_dir).withColumn("b", bits.float_bits(F.col("o_totalprice").cast("double"), "f64"))
+    parts = bits.split_float(F.col("b"), "f64")
+    return rows.select("o_orderkey", bits.float_from_bits(bits.bit_join(list(parts), [52, 11, 1]), "f64").alias("x"), parts[2].alias("sign"))
+
+
 # -- dictionaries and strings --------------------------------------------------------------------------------------------
 
 
@@ -420,6 +487,13 @@ def split_by_sizes(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", strings.split_segments(F.col("event_id"), [100, 250, 0]).alias("segment"))
 
 
+@query("SELECT o_orderkey, unnest([0, 1, 2])::INT AS pos, unnest([o_custkey, o_orderkey, o_custkey % 7]) AS value FROM orders")
+def structs_of_serial(spark, sf_dir):
+    serial = F.concat(*[strings.from_number(c, 4) for c in (F.col("o_custkey"), F.col("o_orderkey"), F.col("o_custkey") % 7)])
+    rows = orders(spark, sf_dir).select("o_orderkey", F.posexplode(strings.to_structs(serial, 4)).alias("pos", "record"))
+    return rows.select("o_orderkey", "pos", strings.to_number(F.col("record")).alias("value"))
+
+
 @query("SELECT o_orderkey, o_orderkey AS a, o_custkey AS b FROM orders")
 def split_by_struct_fields(spark, sf_dir):
     record = F.concat(strings.from_number(F.col("o_orderkey"), 6), strings.from_number(F.col("o_custkey"), 4))
@@ -440,6 +514,26 @@ def dispatch_counts(spark, sf_dir):
     return strings.dispatch(events(spark, sf_dir), F.expr(TAG), 4).groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes"))
 
 
+@query("SELECT event_id, event_type AS text FROM events")
+def dispatch_string_roundtrip(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    indices, streams = strings.dispatch_string(rows, "event_type", F.expr(TAG), 4, ["chunk_id"], "event_id")
+    return strings.dispatch_string_decode(indices, streams, "event_type", ["chunk_id"], "event_id").select("event_id", F.col("event_type").alias("text"))
+
+
+@query(f"SELECT {TAG}::INT AS index, count(*) AS n, max(place) + 1 AS places FROM (SELECT *, row_number() OVER (PARTITION BY event_id // {CHUNK}, {TAG} ORDER BY event_id) - 1 AS place FROM events) GROUP BY 1")
+def dispatch_string_outputs(spark, sf_dir):
+    _, streams = strings.dispatch_string(events(spark, sf_dir), "event_type", F.expr(TAG), 4, ["chunk_id"], "event_id")
+    whole = [s.agg(F.lit(i).alias("index"), F.count("*").alias("n"), (F.max("place") + 1).cast("long").alias("places")) for i, s in enumerate(streams)]
+    return whole[0].union(whole[1]).union(whole[2]).union(whole[3]).where("n > 0")
+
+
+@query(f"SELECT event_id, pos::INT AS pos, token AS text FROM (SELECT event_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT event_id, string_split(regexp_replace(props, '[^-0-9a-z.]+', ' ', 'g'), ' ') AS t FROM events))")
+def float_streams_roundtrip(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.posexplode(F.split(F.regexp_replace("props", "[^-0-9a-z.]+", " "), " ")).alias("pos", "t"))
+    return strings.float_texts(*strings.float_streams(rows, "t", ["event_id"], "pos"), "t", ["event_id"], "pos").withColumnRenamed("t", "text")
+
+
 @query("SELECT event_id, CASE WHEN s = '' THEN 0 ELSE 1 END::INT AS channel FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS s FROM events)")
 def null_aware_dispatch(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("s", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")))
@@ -471,6 +565,18 @@ def interleave_two(spark, sf_dir):
     return strings.interleave([rows.select("o_orderkey", F.col(c).alias("v")) for c in ("o_orderstatus", "o_orderpriority")], "o_orderkey", "v")
 
 
+@query("SELECT s::BIGINT AS src, o_orderkey AS position, CASE s WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS v FROM orders, (VALUES (0), (1)) t(s)")
+def deinterleave_two(spark, sf_dir):
+    return strings.deinterleave(interleave_two(spark, sf_dir), 2, "v")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS ord FROM customer")
+def numbered_rows(spark, sf_dir):
+    from .spec import numbered
+
+    return numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "ord")
+
+
 @query(f"SELECT {sql_chunk('l_orderkey')}, count(*) AS n, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key FROM lineitem GROUP BY 1")
 def segment_chunks(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"))
@@ -529,10 +635,10 @@ def cardinality_estimate(spark, sf_dir):
     return stats.cardinality(lines(spark, sf_dir), NUMBERS)
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS stream, count({c}) AS n, round(max({c})::DOUBLE - min({c})::DOUBLE, 6) AS range_size, round(avg({c}), 6) AS mean, round(var_samp({c}), 4) AS variance, round(stddev_samp({c}), 6) AS stddev, round(sum(power({c} - m, 3)) / count({c}) / power(stddev_pop({c}), 3), 6) AS skewness, round(sum(power({c} - m, 4)) / count({c}) / power(var_pop({c}), 2) - 3, 6) AS kurtosis FROM lineitem, (SELECT avg({c}) AS m FROM lineitem)" for c in ["l_quantity", "l_discount"]))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS stream, count({c}) AS n, 8 AS width, count(DISTINCT {c}) AS cardinality, count(DISTINCT {c}) AS cardinality_low, count(DISTINCT {c}) AS cardinality_high, round(max({c})::DOUBLE - min({c})::DOUBLE, 6) AS range_size, round(avg({c}), 6) AS mean, round(var_samp({c}), 4) AS variance, round(stddev_samp({c}), 6) AS stddev, round(sum(power({c} - m, 3)) / count({c}) / power(stddev_pop({c}), 3), 6) AS skewness, round(sum(power({c} - m, 4)) / count({c}) / power(var_pop({c}), 2) - 3, 6) AS kurtosis FROM lineitem, (SELECT avg({c}) AS m FROM lineitem)" for c in ["l_quantity", "l_discount"]))
 def moments_features(spark, sf_dir):
-    rows = stats.features(lines(spark, sf_dir), ["l_quantity", "l_discount"]).drop("cardinality")
-    return rows.select("stream", "n", *[F.round(c, 4 if c == "variance" else 6).alias(c) for c in ("range_size", "mean", "variance", "stddev", "skewness", "kurtosis")])
+    rows = stats.features(lines(spark, sf_dir).withColumn("l_quantity", F.col("l_quantity").cast("double")).withColumn("l_discount", F.col("l_discount").cast("double")), ["l_quantity", "l_discount"], exact=True)
+    return rows.select("stream", "n", "width", "cardinality", "cardinality_low", "cardinality_high", *[F.round(c, 4 if c == "variance" else 6).alias(c) for c in ("range_size", "mean", "variance", "stddev", "skewness", "kurtosis")])
 
 
 BITS = "CASE WHEN {v} <= 1 THEN 0 ELSE length(ltrim(bin({v} - 1), '0')) END"
@@ -547,9 +653,15 @@ def size_estimates(spark, sf_dir):
     return stats.size_estimates(histogram_u8(spark, sf_dir), "v", ["event_type"]).drop("constant_bytes").withColumn("entropy", F.round("entropy", 6))
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT l_orderkey // {CHUNK} AS chunk_id, l_linenumber AS v, l_orderkey * 8 + l_linenumber AS ord FROM lineitem),
+d AS (SELECT chunk_id, ord - lag(ord) OVER (PARTITION BY chunk_id, v ORDER BY ord) AS distance FROM v),
+c AS (SELECT chunk_id, distance, count(*) AS matches FROM d WHERE distance >= 1 GROUP BY 1, 2),
+r AS (SELECT *, sum(matches) OVER (PARTITION BY chunk_id) AS total, row_number() OVER (PARTITION BY chunk_id ORDER BY matches DESC, distance) AS place FROM c)
+SELECT chunk_id, distance AS stride, round(matches::DOUBLE / total, 6) AS share FROM r WHERE place = 1
+""")
 def dimensionality(spark, sf_dir):
-    return stats.dimensionality(lines(spark, sf_dir).withColumn("ord", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "l_linenumber", ["chunk_id"], "ord")
+    return stats.dimensionality(lines(spark, sf_dir).withColumn("ord", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "l_linenumber", ["chunk_id"], "ord").withColumn("share", F.round("share", 6))
 
 
 @query()

@@ -46,6 +46,20 @@ def csv_melt_fields(spark, sf_dir):
     return text.csv_melt(csv_lines(spark, sf_dir), "line", ["o_orderkey"], "|")
 
 
+@query(f"SELECT o_orderkey // 64 AS block, 'key|cust|status|priority' || chr(10) || string_agg(line || chr(10), '' ORDER BY o_orderkey) AS content FROM ({CSV}) GROUP BY 1")
+def csv_dispatch_roundtrip(spark, sf_dir):
+    """Blocks of lines with a header: fields by column, separators and header as streams, and the texts again."""
+    parts = csv_lines(spark, sf_dir).groupBy(F.floor(F.col("o_orderkey") / 64).alias("block")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))).alias("p"))
+    texts = parts.select("block", F.concat(F.lit("key|cust|status|priority\n"), F.array_join(F.transform("p", lambda x: F.concat(x["line"], F.lit("\n"))), "")).alias("content"))
+    return text.csv_collect(text.csv_dispatch(text.csv_lex(texts, "content", ["block"], "|"), ["block"]), ["block"])
+
+
+@query(f"SELECT (i % 4)::BIGINT AS tag, count(*) AS n, sum(strlen(f))::BIGINT AS bytes FROM (SELECT unnest(range(4)) AS i, unnest(string_split(line, '|')) AS f FROM ({CSV})) GROUP BY 1")
+def csv_column_streams(spark, sf_dir):
+    fields = text.csv_dispatch(text.csv_lex(csv_lines(spark, sf_dir), "line", ["o_orderkey"], "|"), ["o_orderkey"], header=False)["fields"]
+    return fields.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("field")).alias("bytes"))
+
+
 @query(f"SELECT o_orderkey, line AS joined, 4::BIGINT AS fields FROM ({CSV})")
 def csv_token_lexer(spark, sf_dir):
     tokens = text.csv_lex(csv_lines(spark, sf_dir), "line", ["o_orderkey"], "|")
@@ -153,61 +167,57 @@ def plan_roundtrip(spark, sf_dir):
     return plan.decode(plan.encode(rows, again), again).select("o_orderkey", "o_custkey")
 
 
-@query()
+@query(f"SELECT o_orderkey // {CHUNK} AS chunk_id, count(*) AS n, count(*) * 4 AS raw_bytes, true AS same, true AS smaller FROM orders GROUP BY 1")
 def zstd_bytes(spark, sf_dir):
     parts = payload.chunk_bytes(orders(spark, sf_dir), "o_custkey", ["chunk_id"], ["o_orderkey"], 4).withColumn("z", payload.compress(F.col("content")))
     same = payload.decompress(F.col("z"), F.octet_length("content")) == F.col("content")
-    return parts.select("chunk_id", "n", F.octet_length("content").alias("raw_bytes"), F.octet_length("z").alias("zstd_bytes"), same.alias("same"))
+    return parts.select("chunk_id", "n", F.octet_length("content").cast("long").alias("raw_bytes"), same.alias("same"), (F.octet_length("z") < F.octet_length("content")).alias("smaller"))
 
 
-@query()
-def boosted_choice(spark, sf_dir):
-    """Trees trained to the backends that measured least, on a row of features a stream."""
-    names = ["total", "symbols", "largest", "entropy"]
-    rows = route.entropy_backend(stats.size_estimates(histogram_u8(spark, sf_dir), "v", ["event_type"]))
-    measured = [([float(r[n]) for n in names], r["backend"]) for r in rows.select(*names, "backend").collect()]
-    model = route.fit_stumps(measured, sorted({b for _, b in measured} | {"store", "entropy"}), names)
-    return rows.select("event_type", "backend", model.choose().alias("chosen"))
+def stream_path(spark) -> str:
+    """A new folder in the folder that driver and executors share; a temporary one is taken on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="weft-stream-")
+    return f"{base.rstrip('/')}/weft-stream-{uuid.uuid4().hex}"
 
 
-@query()
-def genetic_search(spark, sf_dir):
-    """Chains of steps on order keys by estimated bytes and number of steps: the front of a small genetic search, costs measured together."""
-    steps = ("delta", "zigzag", "range_pack")
-    rows = orders(spark, sf_dir).select("chunk_id", "o_orderkey", "o_custkey").persist()
+def event_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
-    def cost(chains):
-        out = []
-        for chain in chains:
-            p = plan.Plan("o_custkey", ("chunk_id",), ("o_orderkey",), tuple((s, {"id": i} if s == "range_pack" else {}) for i, s in enumerate(chain)))
-            high = plan.encode(rows, p).agg(F.max(F.abs("o_custkey"))).first()[0]
-            out.append((int(high).bit_length() + (0 if "zigzag" in chain or "delta" not in chain else 1), len(chain)))
-        return out
 
-    def mutate(chain, rng):
-        return chain[:-1] if chain and rng.random() < 0.5 else (*chain, steps[rng.integers(len(steps))])[:3]
+@query("SELECT event_id, user_id FROM events")
+def stream_chunk_delta(spark, sf_dir):
+    """The events as micro-batches, each cut into chunks of keys, encoded and decoded again."""
+    from .streaming.chunks import encode_stream
 
-    def cross(a, b, rng):
-        return (*a[: rng.integers(len(a) + 1)], *b[rng.integers(len(b) + 1) :])[:3]
+    path = stream_path(spark)
+    p = plan.Plan("user_id", ("batch", "chunk_id"), ("event_id",), (("delta", {}), ("zigzag", {})))
+    stream = event_stream(spark, sf_dir).select("event_id", "user_id", F.floor(F.col("event_id") / CHUNK).cast("long").alias("chunk_id"))
+    encode_stream(stream, p, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return plan.decode(spark.read.parquet(f"{path}/out"), p).select("event_id", "user_id")
 
-    front = search.genetic([(), *((s,) for s in steps)], cost, mutate, cross, population=8, generations=3)
-    rows.unpersist()
-    return spark.createDataFrame([("+".join(c) or "store", float(k[0]), float(k[1])) for c, k in front], "chain string, bits double, steps double")
 
+@query("SELECT user_id, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
+def stream_running_delta(spark, sf_dir):
+    """Differences along each user over all micro-batches."""
+    from .streaming.chunks import running_delta
 
-@query()
-def stream_chunk_delta(spark, sf_dir):
-    """Every file of a table as a micro-batch, encoded and decoded again."""
-    from .streaming.chunks import encode_stream
+    path = stream_path(spark)
+    rows = event_stream(spark, sf_dir).select("user_id", "event_id", F.col("event_id").alias("v"))
+    running_delta(rows, "user_id", "event_id", "v").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("user_id", "event_id", "delta")
 
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weft-stream-")
-    path = f"{base.rstrip('/')}/weft-stream-{uuid.uuid4().hex}"
-    p = plan.Plan("user_id", ("batch",), ("event_id",), (("delta", {}), ("zigzag", {})))
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    encode_stream(stream.select("event_id", "user_id"), p, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return plan.decode(spark.read.parquet(f"{path}/out"), p).select("event_id", "user_id")
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def frame_roundtrip(spark, sf_dir):
+    """The encoded stream and its manifest written, and read by the manifest alone."""
+    path = stream_path(spark)
+    plan.write_frame(orders(spark, sf_dir).select("chunk_id", "o_orderkey", "o_custkey"), PLAN, path)
+    return plan.read_frame(spark, path).select("o_orderkey", "o_custkey")
 
 
 @query(f"""
@@ -232,24 +242,6 @@ def cluster_cost_pairs(spark, sf_dir):
     return cost.crossJoin(pair).select(F.lit("o_orderkey").alias("a"), F.lit("o_custkey").alias("b"), F.round(route.gain(F.col("p"), F.col("x"), F.col("y")), 6).alias("gain"))
 
 
-@query()
-def greedy_cluster_search(spark, sf_dir):
-    """Columns grouped by what their pairs save in zstd bytes of their chunks, measured in one pass."""
-    names = ["l_partkey", "l_suppkey", "l_linenumber"]
-    rows = lines(spark, sf_dir)
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-
-    def size(columns: list[str]) -> int:
-        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*keys))), lambda r: F.concat_ws(",", *[r[c].cast("string") for c in columns])), "\n")
-        packed = rows.groupBy("chunk_id").agg(F.encode(whole, "UTF-8").alias("content"))
-        return int(packed.agg(F.sum(F.octet_length(payload.compress(F.col("content"))))).first()[0])
-
-    single = {c: size([c]) for c in names}
-    pair = {(a, b): size([a, b]) for i, a in enumerate(names) for b in names[i + 1 :]}
-    groups = search.greedy_clusters(single, pair)
-    return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "cluster int, stream string")
-
-
 @query()
 def bitsplit_bf16(spark, sf_dir):
     from .operators import bits
@@ -259,8 +251,8 @@ def bitsplit_bf16(spark, sf_dir):
     return rows.select("vec_id", "pos", fraction.alias("fraction"), exponent.alias("exponent"), sign.alias("sign"))
 
 
-@query()
+@query(f"SELECT o_orderkey // {CHUNK} AS chunk_id, count(*) AS n, count(*) * 4 AS raw_bytes, true AS same FROM orders GROUP BY 1")
 def lz4_bytes(spark, sf_dir):
     parts = payload.chunk_bytes(orders(spark, sf_dir), "o_custkey", ["chunk_id"], ["o_orderkey"], 4).withColumn("z", payload.compress(F.col("content"), "lz4_raw"))
     same = payload.decompress(F.col("z"), F.octet_length("content"), "lz4_raw") == F.col("content")
-    return parts.select("chunk_id", F.octet_length("content").alias("raw_bytes"), F.octet_length("z").alias("lz4_bytes"), same.alias("same"))
+    return parts.select("chunk_id", "n", F.octet_length("content").cast("long").alias("raw_bytes"), same.alias("same"))
