@@ -357,13 +357,23 @@ def planes(x: np.ndarray) -> bytes:
 
 
 def entropy_encode(raw: bytes, width: int = 1) -> bytes:
-    """A letter and the payload of what is smallest: constant, flatpack, bitpack, prefix code, asymmetric code, or the bytes as they are."""
-    found = [b"r" + raw]
-    if raw:
-        for letter, coder in ((b"c", constant_encode), (b"f", flatpack_encode), (b"b", bitpack_encode), (b"h", huffman_encode), (b"a", fse_encode)):
-            if coder is not constant_encode or raw.count(raw[0]) == len(raw):
-                found.append(letter + coder(raw))
-    return min(found, key=len)
+    """A letter and the payload of what is smallest by the histogram: constant, flatpack, bitpack, prefix code, asymmetric code, or the bytes as they are."""
+    counts = np.bincount(np.frombuffer(raw, "u1"), minlength=256)
+    symbols, held, n = np.nonzero(counts)[0], counts[counts > 0], len(raw)
+    if len(symbols) == 1:
+        return b"c" + constant_encode(raw)
+    if not n:
+        return b"r"
+    k, log = len(symbols), 1 << FSE_LOG
+    sizes = {
+        b"r": n,
+        b"f": 1 + k + (n * (k - 1).bit_length() + 8) // 8,
+        b"b": 5 + (n * max(1, int(symbols[-1]).bit_length()) + 7) // 8,
+        b"h": 8 + 2 * k + (int((held * code_lengths(held)).sum()) + 7) // 8,
+        b"a": 10 + 3 * k + int(np.ceil((held * (FSE_LOG - np.log2(normalised(held)))).sum() / 8)) + 1 if k <= log else n + 1,
+    }
+    letter = min(sizes, key=lambda x: sizes[x])
+    return letter + {b"r": lambda x: x, b"f": flatpack_encode, b"b": bitpack_encode, b"h": huffman_encode, b"a": fse_encode}[letter](raw)
 
 
 def entropy_decode(data: bytes, width: int = 1) -> bytes:

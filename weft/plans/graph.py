@@ -133,7 +133,7 @@ class Context:
     """What a selector or builder may do with a graph on the data at hand, and what is observed of a run."""
 
     def __init__(self, observed: Callable[[str, list[Stream]], None] | None = None):
-        self.observed = observed
+        self.observed, self.kept = observed, {}
 
     def run(self, graph: Graph, streams: list[Stream]) -> bytes:
         """Frame of streams by graph. What fails is stored if the graph is permissive, and raised otherwise."""
@@ -147,7 +147,9 @@ class Context:
     def measure(self, graph: Graph, streams: list[Stream]) -> int | None:
         """Bytes of the frame, None if the graph fails on these streams."""
         try:
-            return len(Context()._run(graph, streams))
+            data = Context()._run(graph, streams)
+            self.kept[id(graph)] = (streams, data)  # what is chosen next need not run again
+            return len(data)
         except (ValueError, KeyError, OverflowError):
             return None
 
@@ -156,7 +158,11 @@ class Context:
             self.observed(graph.hole, streams)
         kind, name = graph.name[0], graph.name[1:]
         if kind == "?":
-            return self.run(graph.successors[SELECTORS[name](streams[0], graph, self)], streams)
+            self.kept = {}
+            chosen = graph.successors[SELECTORS[name](streams[0], graph, self)]
+            held, data = self.kept.pop(id(chosen), (None, b""))
+            self.kept = {}
+            return data if held is not None and held[0] is streams[0] and not self.observed else self.run(chosen, streams)
         if kind == "@":
             return self.run(BUILDERS[name](streams, graph.params, self), streams)
         if kind == "=":

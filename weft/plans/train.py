@@ -177,7 +177,7 @@ def train(df: DataFrame, graph: g.Graph, inputs: list[g.Input], keys: list[str],
     for name in known:
         if name not in holes:
             continue
-        samples = g.collect_samples(few, graph, inputs, keys).where(F.col("hole") == name)
+        samples = g.collect_samples(few, graph, inputs, keys).where(F.col("hole") == name).persist()  # bounded by the limits
         if name == "cluster":
             ports = [tuple(r) for r in samples.select("port", "kind", "width").distinct().orderBy("port").collect()]
             groups = trainer(*pair_costs(samples, ports, keys))
@@ -193,4 +193,5 @@ def train(df: DataFrame, graph: g.Graph, inputs: list[g.Input], keys: list[str],
             contents = [bytes(r[0]) for r in samples.select("content").toLocalIterator()]
             dictionary = train_dictionary(contents)
             graph, report[name] = graph.put(name, g.leaf("zstd", dictionary=dictionary)), {g.dictionary_id(dictionary): dictionary}
+        samples.unpersist()
     return graph, report

@@ -635,10 +635,10 @@ def cardinality_estimate(spark, sf_dir):
     return stats.cardinality(lines(spark, sf_dir), NUMBERS)
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS stream, count({c}) AS n, 8 AS width, count(DISTINCT {c}) AS cardinality, count(DISTINCT {c}) AS cardinality_low, count(DISTINCT {c}) AS cardinality_high, round(max({c})::DOUBLE - min({c})::DOUBLE, 6) AS range_size, round(avg({c}), 6) AS mean, round(var_samp({c}), 4) AS variance, round(stddev_samp({c}), 6) AS stddev, round(sum(power({c} - m, 3)) / count({c}) / power(stddev_pop({c}), 3), 6) AS skewness, round(sum(power({c} - m, 4)) / count({c}) / power(var_pop({c}), 2) - 3, 6) AS kurtosis FROM lineitem, (SELECT avg({c}) AS m FROM lineitem)" for c in ["l_quantity", "l_discount"]))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS stream, count({c}) AS n, 8 AS width, count(DISTINCT {c}) AS cardinality, count(DISTINCT {c}) AS cardinality_low, count(DISTINCT {c}) AS cardinality_high, round(max({c})::DOUBLE - min({c})::DOUBLE, 6) AS range_size, round(avg({c}), 4) AS mean, round(var_samp({c}), 4) AS variance, round(stddev_samp({c}), 6) AS stddev, round(sum(power({c} - m, 3)) / count({c}) / power(stddev_pop({c}), 3), 6) AS skewness, round(sum(power({c} - m, 4)) / count({c}) / power(var_pop({c}), 2) - 3, 6) AS kurtosis FROM lineitem, (SELECT avg({c}) AS m FROM lineitem)" for c in ["l_quantity", "l_discount"]))
 def moments_features(spark, sf_dir):
     rows = stats.features(lines(spark, sf_dir).withColumn("l_quantity", F.col("l_quantity").cast("double")).withColumn("l_discount", F.col("l_discount").cast("double")), ["l_quantity", "l_discount"], exact=True)
-    return rows.select("stream", "n", "width", "cardinality", "cardinality_low", "cardinality_high", *[F.round(c, 4 if c == "variance" else 6).alias(c) for c in ("range_size", "mean", "variance", "stddev", "skewness", "kurtosis")])
+    return rows.select("stream", "n", "width", "cardinality", "cardinality_low", "cardinality_high", *[F.round(c, 4 if c in ("mean", "variance") else 6).alias(c) for c in ("range_size", "mean", "variance", "stddev", "skewness", "kurtosis")])
 
 
 BITS = "CASE WHEN {v} <= 1 THEN 0 ELSE length(ltrim(bin({v} - 1), '0')) END"
