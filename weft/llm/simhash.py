@@ -193,7 +193,8 @@ def keep_firsts(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE, id
     chosen = stage(grouped.groupBy("component").agg(first.alias("first")).select("first._row"), "chosen")
     for old in (linked, distinct):
         remove(docs.sparkSession, old)
-    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
+    # merged at every size: whether what was chosen could be broadcast depends on how many documents there are
+    return rows.join(chosen.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
