@@ -98,6 +98,24 @@ def test_packing(docs, library):
     assert packing.pack_documents(docs.limit(0), BYTE).count() == 0
 
 
+def test_packing_of_equal_keys_and_clashing_names(spark):
+    rows = spark.createDataFrame([(None, 0, 1 + i % 3, "s", i, "b") for i in range(300)], "doc_id long, start long, length long, sequence_id string, offset long, _bucket string").repartition(4)
+    out = packing.pack(rows, capacity=10).collect()
+    assert out[0].asDict().keys() == {"doc_id", "start", "length", "_bucket", "sequence_id", "offset"} and len(out) == 300
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert all(a[0] < b[0] or a[1] + a[2] == b[1] for a, b in zip(taken, taken[1:])) and all(o + n <= 10 for _, o, n in taken)
+
+
+def test_scratch(spark):
+    from weft.llm import shared
+
+    with shared.scratch(spark):
+        inside, kept = shared.stage(spark.range(3).toDF("i"), "a"), shared.new_path(spark, "b")
+        out = shared.stage(inside, "b", kept)
+        gone = inside.inputFiles()[0].rsplit("/", 1)[0]
+    assert out.count() == 3 and not shared.path_exists(spark, gone) and shared.path_exists(spark, kept)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_histogram_packing(seed):
     rng = np.random.default_rng(seed)
@@ -123,6 +141,7 @@ def test_byte_bpe(spark, docs):
     for r in out:
         text = TEXTS[r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(text) and r.decoded == text.encode() and r.n_tokens == len(r.ids) // 4
+    assert byte_bpe.decode_ids(byte_bpe.encode_texts(docs.limit(0), RANKS, P.PATTERN), RANKS).count() == 0
     coder = byte_bpe.RankCoder(RANKS, P.PATTERN, entries=50)
     texts = random_texts(200, "abcdeé's .!1$AB\n") + random_texts(50, "abé \n\t　日1.", 2) + ["ab" * 500, "é" * 90]
     ids, count = coder.encode(pa.array(texts))
@@ -139,6 +158,9 @@ def test_id_files(spark, docs, library):
         assert (r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (start, len(ids), ids)
         start += len(ids)
     assert id_files.round_trip(docs.limit(0), WORD).count() == 0
+    same = spark.createDataFrame([(7, "one text")] * 40 + [(None, "one text")] * 40, "doc_id long, text string").repartition(4)
+    n = len(ids_of(library, WORD, "one text")) + 1
+    assert sorted(((r.doc_id or 0, r.start, r.n_tokens) for r in id_files.round_trip(same, WORD).collect())) == [(0 if i < 40 else 7, i * n, n) for i in range(80)]
 
 
 def test_block_codes_of_all_sizes():

@@ -210,7 +210,8 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "do
 
     Every match of pattern is encoded by itself: a match that is ranked as a whole is one id, else the pair of neighbours of
     least rank, leftmost first, is merged until no pair is ranked. Null and empty texts have no ids. Special strings are
-    ordinary text. Repeated rows keep their rows; other columns are not read.
+    ordinary text. Texts of any length are encoded whole. Repeated rows keep their rows, an empty table gives an empty result;
+    other columns are not read.
     """
 
     def make():

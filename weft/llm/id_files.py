@@ -136,8 +136,11 @@ def write_id_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, i
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, "part int, block long, ids_before long, n_ids long, body binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    # rows of one id, null ids too, are dealt to several parts by what they hold and where they lie
+    order = ["doc_id", "hash", "row"]
+    ordered = encoded.withColumn("hash", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # not compressed again: the bytes of a block lie in the file as the format has them
+    ordered.mapInArrow(blocks, "part int, block long, ids_before long, n_ids long, body binary").write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, encoded)
 
 
@@ -187,7 +190,12 @@ def map_rows_one(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Write the files and read them back. Null texts count as empty: end_id alone. A null id sorts first and comes back as null."""
+    """Write the files and read them back: doc_id, start, n_tokens, ids.
+
+    Null texts count as empty: end_id alone. Texts of any length are encoded whole; one text's ids lie in one block. A null id
+    sorts first and comes back as null. Rows of one id, repeated ones too, each keep their row and come in some fixed order.
+    An empty table gives empty files and an empty result; other columns are not read.
+    """
     path = path or new_path(docs.sparkSession, "id-files")
     write_id_files(docs, tokenizer, path, end_id=end_id)
     return read_id_files(docs.sparkSession, path)

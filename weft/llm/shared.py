@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside, without a path of their own, are deleted in the end; what is wanted later is written before that."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None, level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Write df as Parquet in the shared folder, compressed by zstd at the given level in pages of about the given bytes, and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = path or new_path(spark, name)
+    if not path:
+        path = new_path(spark, name)
+        for held in _SCRATCH[-1:]:
+            held.append(path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,9 +68,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(file)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(spark, folder)
 
 
 def text_or_empty(df: DataFrame, text_col: str = "text"):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .coder import text_slices
 from .components import connected_components
 from .shared import map_rows, remove, stage, text_or_empty
 
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame, *, words: int = SHINGLE, id_col: str = "doc_id
     def make():
         return lambda part: {"doc_id": part["doc_id"], "fp": [fingerprint(t, words) for t in part["text"].to_pylist()]}
 
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, fp long")
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text")), make, "doc_id long, fp long", text_slices)
 
 
 def error_masks(bits: int, reach: int) -> list[list[int]]:
@@ -161,7 +162,8 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE
 
     Documents of equal fingerprint meet first, within map tasks, so copies cost one row each. Null and empty texts, and those
     of white space, have fingerprint 0 and are linked like others. Fewer words than a shingle: the whole sequence is one.
-    Repeated rows each get a row. A null id never becomes a component_id unless the group has no other.
+    Repeated rows each get a row. A null id never becomes a component_id unless the group has no other. Texts of any length are
+    fingerprinted whole. An empty table gives an empty result; other columns are not read.
     """
     found = stage(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
@@ -178,7 +180,8 @@ def keep_firsts(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE, id
     """One row of each group of near duplicates, all columns as they are: that of the smallest id, then of the smallest SHA-256 of its text.
 
     Rows count as documents of their own whatever their ids, so null and repeated ids are kept where their texts differ; a null
-    id comes after all others. Rows are staged with a number, by which the chosen ones are found again.
+    id comes after all others. Rows are staged with a number, by which the chosen ones are
+    found again. Of repeated rows one stays. An empty table gives an empty result; the name _row is taken.
     """
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     texts = rows.select("_row", rows[id_col].cast("long").alias("doc_id"), text_or_empty(rows, text_col).alias("text"))
@@ -187,7 +190,7 @@ def keep_firsts(docs: DataFrame, *, threshold: int = 4, words: int = SHINGLE, id
         return lambda part: {"_row": part["_row"], "doc_id": part["doc_id"], "digest": [sha256(t.encode()).digest() for t in part["text"].to_pylist()], "fp": [fingerprint(t, words) for t in part["text"].to_pylist()]}
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "_row"))
-    distinct = stage(map_rows(texts, make, "_row long, doc_id long, digest binary, fp long").groupBy("fp").agg(first.alias("first")), "distinct")
+    distinct = stage(map_rows(texts, make, "_row long, doc_id long, digest binary, fp long", text_slices).groupBy("fp").agg(first.alias("first")), "distinct")
     linked = connected_components(near_links(distinct.select("fp"), threshold))
     grouped = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("first.*", F.coalesce("component", "fp").alias("component"))
     chosen = stage(grouped.groupBy("component").agg(first.alias("first")).select("first._row"), "chosen")

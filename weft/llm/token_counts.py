@@ -39,7 +39,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     cache is a Parquet folder (digest, tokenizer, n_tokens) that is read if it exists and appended to; without it the call
     gets one of its own in the shared folder. Each distinct normalised text that the cache lacks is encoded once, however many
     documents hold it: copies meet by digest, first within map tasks. Null texts count as empty (0 bytes, 0 tokens); empty
-    tables give empty results; repeated rows each keep their row; other columns are not read.
+    tables give empty results; repeated rows each keep their row; texts of any length are encoded whole; other columns are not
+    read. What the call stages stays in the shared folder, since the result reads it (see shared.scratch).
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     cache = cache or new_path(spark, "token-cache")
