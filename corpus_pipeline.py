@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import language_id, packing, simhash, toxicity
-from weft.llm.shared import stage
+from weft.llm.shared import new_path, scratch, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. What a stage stages for itself is deleted when its own table is written; that table stays for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = stage(step(spark, docs, sf_dir), name, new_path(spark, f"pipeline-{name}"))
     return docs
