@@ -245,6 +245,9 @@ def boundaries(values: np.ndarray, fast: bool = False) -> np.ndarray:
     size = np.frompyfunc(lambda n: (int(n) - 1).bit_length(), 1, 1)
     edges = np.append(grid, top)
     rows = np.searchsorted(values, edges)
+    span = edges[None, :] - edges[:, None]
+    # step[i, j]: bits of the places of all values from edge i to edge j in one bucket
+    step = np.where(span > 0, (rows[None, :] - rows[:, None]) * size(np.maximum(span, 1)).astype(float), np.where(span == 0, 0.0, np.inf)) if not fast else None
     best, chosen = None, grid[:1]
     for k in range(0, 7):
         count = min(1 << k, len(grid))
@@ -254,8 +257,6 @@ def boundaries(values: np.ndarray, fast: bool = False) -> np.ndarray:
             # cost[i]: bits of places of all values below edge i in the best `used` buckets
             cost, back = np.where(np.arange(len(edges)) == 0, 0.0, np.inf), []
             for _ in range(count):
-                span = edges[None, :] - edges[:, None]
-                step = np.where(span > 0, (rows[None, :] - rows[:, None]) * size(np.maximum(span, 1)).astype(float), np.where(span == 0, 0.0, np.inf))
                 whole = cost[:, None] + step
                 back.append(whole.argmin(0))
                 cost = whole.min(0)

@@ -311,7 +311,7 @@ def line_samples(spark, sf_dir) -> DataFrame:
 @query()
 def selector_training(spark, sf_dir):
     """Trees fitted to which chain makes a chunk smallest, on four fifths of the chunks, and how they do on the rest."""
-    samples = train.limit_samples(line_samples(spark, sf_dir), "content", ["chunk_id", "stream"])
+    samples = train.limit_samples(line_samples(spark, sf_dir), "content", ["chunk_id", "stream"], most=64)
     _, report = train.fit_selector(train.measure(samples, [g.CHAINS[c] for c in g.NUMERIC_CHOICES], ["stream", "chunk_id"]), ["stream", "chunk_id"])
     return spark.createDataFrame([(k, float(v)) for k, v in report.items()], "figure string, value double")
 
@@ -319,7 +319,7 @@ def selector_training(spark, sf_dir):
 @query()
 def genetic_search(spark, sf_dir):
     """Chains by exact bytes and number of steps: the front of a search of population 12 over 4 generations, each measured in one pass."""
-    samples = train.limit_samples(line_samples(spark, sf_dir).where("stream = 'l_partkey'"), "content", ["chunk_id"], most=8)
+    samples = train.limit_samples(line_samples(spark, sf_dir).where("stream = 'l_partkey'"), "content", ["chunk_id"], most=4)
     front = train.search_chains(samples.select("kind", "width", "content"), population=12, generations=4)
     return spark.createDataFrame([("+".join(c), b, s) for c, b, s in front], "chain string, bytes double, steps double")
 
@@ -329,7 +329,7 @@ def greedy_cluster_search(spark, sf_dir):
     """Columns grouped by what their pairs save, alone and joined, measured in one pass."""
     ports = [(i, "numeric", 4) for i in range(len(STREAMS))]
     port = F.array_position(F.array(*[F.lit(s) for s in STREAMS]), F.col("stream")) - 1
-    samples = train.limit_samples(line_samples(spark, sf_dir), "content", ["chunk_id", "stream"]).select("chunk_id", port.cast("int").alias("port"), "kind", "width", "content", F.lit(None).cast("array<long>").alias("lengths"))
+    samples = train.limit_samples(line_samples(spark, sf_dir), "content", ["chunk_id", "stream"], most=32).select("chunk_id", port.cast("int").alias("port"), "kind", "width", "content", F.lit(None).cast("array<long>").alias("lengths"))
     costs = train.pair_costs(samples, ports, ["chunk_id"])
     found = [(name, i, STREAMS[c]) for name, f in (("greedy", search.greedy_clusters), ("bottom_up", train.bottom_up), ("full_split", train.full_split)) for i, members in enumerate(f(*costs)) for c in members]
     return spark.createDataFrame(found, "trainer string, cluster int, stream string")

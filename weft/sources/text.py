@@ -69,13 +69,15 @@ def csv_lex(files: DataFrame, content: str, keys: list[str], separator: str = ",
     Unclosed quotes, and rows that end in \\n of another number of fields than the first, are errors. A separator or line end
     has the column of the field before it.
     """
+    # columns of their own, so that Spark finds rows and fields once
     rows = files.select(*keys, csv_rows(F.coalesce(F.col(content), F.lit(""))).alias("_rows"))
+    rows = rows.select(*keys, F.transform("_rows", lambda r: r.endswith("\n")).alias("_ended"), F.transform("_rows", lambda r: csv_fields(r, separator)).alias("_fields"))
 
     def token(row, col, kind: str, text: Column) -> Column:
         return F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), F.lit(kind).alias("kind"), text.alias("token"))
 
-    def tokens(row: Column, i: Column) -> Column:
-        fields, ended = csv_fields(row, separator), row.endswith("\n")
+    def tokens(fields: Column, i: Column) -> Column:
+        ended = F.get("_ended", i)
         last = F.size(fields) - 1
         end = F.when(ended, F.array(token(i, last, "newline", F.lit("\n")))).otherwise(F.array())
         if null_aware:
@@ -87,9 +89,8 @@ def csv_lex(files: DataFrame, content: str, keys: list[str], separator: str = ",
             body = F.slice(pairs, 2, F.size(pairs) - 1 - (~ended & (last > 0) & (F.get(fields, last) == "")).cast("int"))
         return F.concat(body, end)
 
-    width = F.size(csv_fields(F.get("_rows", F.lit(0)), separator))
-    even = F.forall("_rows", lambda r: ~r.endswith("\n") | (F.size(csv_fields(r, separator)) == width))
-    sure = F.when(F.assert_true(even, F.lit("rows of unequal width")).isNull(), F.flatten(F.transform("_rows", tokens)))
+    even = F.forall(F.zip_with("_fields", "_ended", lambda f, ended: ~ended | (F.size(f) == F.size(F.get("_fields", F.lit(0))))), lambda x: x)
+    sure = F.when(F.assert_true(even, F.lit("rows of unequal width")).isNull(), F.flatten(F.transform("_fields", tokens)))
     return rows.select(*keys, F.posexplode(sure).alias("pos", "_t")).select(*keys, F.col("pos").cast("long").alias("pos"), "_t.*")
 
 
