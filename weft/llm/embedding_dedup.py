@@ -11,8 +11,6 @@ lost. The work of this step grows with the square of a label's count of distinct
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,11 +40,15 @@ def usable(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keep, sizes[keep], flat[np.repeat(keep, sizes)]
 
 
-@cache
+_ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def rotation(size: int, number: int) -> np.ndarray:
-    """A random rotation, or projection to HASH_SIZE dimensions."""
-    normal = np.random.default_rng([size, number]).normal(size=(size, min(size, HASH_SIZE)))
-    return np.linalg.qr(normal)[0].astype("f4")
+    """A random rotation, or projection to HASH_SIZE dimensions; made once a worker."""
+    if (size, number) not in _ROTATIONS:
+        normal = np.random.default_rng([size, number]).normal(size=(size, min(size, HASH_SIZE)))
+        _ROTATIONS[size, number] = np.linalg.qr(normal)[0].astype("f4")
+    return _ROTATIONS[size, number]
 
 
 def unit(a: np.ndarray) -> np.ndarray:
