@@ -15,7 +15,6 @@ import ast
 import re
 import struct
 from dataclasses import dataclass
-from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -220,13 +219,22 @@ def read_records(records: dict[str, Record], name: str, data: bytes) -> list[dic
     return out
 
 
-@cache
-def compiled(expression: str):
-    return compile(ast.parse(expression, mode="eval"), "layout", "eval")
+class Compiled(dict):
+    """Code of expressions; goes to workers empty, since code objects cannot."""
+
+    def __missing__(self, expression: str):
+        code = self[expression] = compile(ast.parse(expression, mode="eval"), "layout", "eval")
+        return code
+
+    def __reduce__(self):
+        return Compiled, ()
+
+
+COMPILED = Compiled()
 
 
 def evaluate(expression: str, scope: dict) -> int:
-    found = eval(compiled(expression), {"__builtins__": {}}, scope)  # noqa: S307  checked by check()
+    found = eval(COMPILED[expression], {"__builtins__": {}}, scope)  # noqa: S307  checked by check()
     if isinstance(found, int) and not -(1 << 63) <= found < 1 << 63:
         raise ValueError(f"{expression} does not fit 64 bits")
     return found
