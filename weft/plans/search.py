@@ -41,6 +41,8 @@ def pareto_front(df: DataFrame, costs: list[str], key: str, by: list[str] | None
 def crowding(costs: np.ndarray) -> np.ndarray:
     """Distance of each candidate to its neighbours along each cost; infinite at the ends."""
     out = np.zeros(len(costs))
+    finite = np.isfinite(costs)
+    costs = np.where(finite, costs, costs[finite].max(initial=0.0) + 1)  # what failed lies beyond all others
     for j in range(costs.shape[1]):
         order = np.argsort(costs[:, j], kind="stable")
         x = costs[order, j]
