@@ -819,3 +819,16 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} == {ids[c] for c in comp}
     coder = LibraryCoder(BYTE)
     check_packing(out, {i: [*coder.library.encode(clean[i], add_special_tokens=False).ids, 0] for i in {r.doc_id for r in out}}, 1024)
+
+
+def test_jpeg_samples_are_no_bare_black_and_white():
+    """Each byte of a text bears on the tensor: samples keep the values between the ends, by the formulas of the transform."""
+    raw = b"Words of some length stand here, one after the other, and no two lines are the same. " * 9
+    raw = raw[: len(raw) // 384 * 384]
+    found = media_jpeg.read_jpeg(media_jpeg.write_payload(raw, len(raw)))
+    assert all((p["quant"] == 1).all() for p in found["parts"])
+    rgb = media_jpeg.rgb_of(found)
+    assert ((rgb > 0) & (rgb < 255)).mean() > 0.8
+    for at in range(0, 128, 7):  # another byte, another tensor
+        other = raw[:at] + bytes([raw[at] ^ 9]) + raw[at + 1 :]
+        assert (media_jpeg.rgb_of(media_jpeg.read_jpeg(media_jpeg.write_payload(other, len(other)))) != rgb).any()

@@ -19,9 +19,11 @@ from .coder import text_slices
 from .shared import binary, map_rows, stage, text_or_empty
 
 TAG = b"WEFT"
-#: Quantisation step of the pictures that hold payloads: any step keeps coefficients whole; a large one makes samples black or
-#: white in each channel, so that stored tensors compress. Level of zstd and bytes of a page of stored tables.
-QUANT, LEVEL, PAGE = 65535, 10, 8 << 20
+#: Quantisation step of the pictures that hold payloads: any step keeps coefficients whole, but only the least one keeps
+#: samples within their range, so that tensors have what the transform gives and not black and white alone.
+QUANT = 1
+#: Level of zstd and bytes of a page of stored tables; tensors are nearly as large at high levels as at low ones.
+LEVEL, TENSOR_LEVEL, PAGE = 10, 3, 8 << 20
 HEADER = ">4sQ"
 EOB_MOST = 32767
 #: Rows of units of 16 samples that a picture has at most.
@@ -40,6 +42,10 @@ def inverse_basis() -> np.ndarray:
 BASIS = inverse_basis()
 
 
+#: Bits of the numbers 0 to 511, which differences of coefficients do not exceed.
+WIDTH = np.asarray([n.bit_length() for n in range(512)])
+
+
 def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -77,7 +83,7 @@ def write_payload(payload: bytes, n_bytes: int) -> bytes:
         b"\xff\xd8",
         segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"),
         segment(0xFE, struct.pack(HEADER, TAG, n_bytes)),
-        segment(0xDB, bytes([0x10]) + struct.pack(">H", QUANT) * 64),
+        segment(0xDB, bytes([0, *[QUANT] * 64])),
         segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
         huffman(0, 0, {4: list(range(9))}),  # DC: bits in the difference
         huffman(1, 0, {1: [7]}),  # AC, first: no zero before, seven bits
@@ -91,7 +97,7 @@ def write_payload(payload: bytes, n_bytes: int) -> bytes:
         dc = part[:, 0].astype("int64")
         dc = np.where(dc < 128, dc - 255, dc)
         difference = np.diff(dc >> 1, prepend=0)
-        size = np.ceil(np.log2(np.abs(difference) + 1)).astype("int64")
+        size = WIDTH[np.abs(difference)]
         code = np.where(difference < 0, difference + (1 << size) - 1, difference)
         out.append(scan(number, 0, 0, 0, 0, 1, pack_bits(bits_of(size << size | code, size + 4))))
         out += [scan(number, 0, a, b, 0, 1, (part[:, a : b + 1] >> 1).tobytes()) for a, b in ((1, 5), (6, 63))]
@@ -172,16 +178,21 @@ def dc_first(bits: Bits, blocks: list[tuple[np.ndarray, np.ndarray, list[int]]],
                 coefficients[block, 0] = last[c] << low
 
 
+def stretch(order: np.ndarray) -> np.ndarray | slice:
+    """Ascending places of blocks, as a slice where none is left out, which numpy reads and writes at once."""
+    return slice(int(order[0]), int(order[-1]) + 1) if len(order) and order[-1] - order[0] == len(order) - 1 else order
+
+
 def ac_first(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list[int], int | None], first: int, last: int, low: int) -> None:
     lookup, alone = table
     if alone is not None and alone >> 4 == 0 and alone:  # every coefficient of the band is there and has the same number of bits
         size, count = alone & 15, len(order) * (last - first + 1)
         if size == 7:  # a byte each
-            value = np.frombuffer(bits.data, "u1", count).astype("int64")
+            value = np.frombuffer(bits.data, "u1", count).astype("int32")
         else:
-            value = bits.many(count * (1 + size)).reshape(count, 1 + size)[:, 1:].astype("int64") @ (1 << np.arange(size)[::-1])
-        value = np.where(value >> size - 1, value, value - (1 << size) + 1)
-        rows[order, first : last + 1] = (value << low).reshape(len(order), -1)
+            value = (bits.many(count * (1 + size)).reshape(count, 1 + size)[:, 1:].astype("int64") @ (1 << np.arange(size)[::-1])).astype("int32")
+        value -= (value >> size - 1 == 0) * np.int32((1 << size) - 1)
+        rows[stretch(order), first : last + 1] = (value << low).reshape(-1, last - first + 1)
         return
     run = 0
     for block in order.tolist():
@@ -207,8 +218,13 @@ def ac_refine(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list
 
     def correct(some: np.ndarray, a: int) -> None:
         """One bit for each coefficient that is not zero."""
+        some = stretch(some)
         band = rows[some, a : last + 1]
         there = band != 0
+        if there.all():
+            step = bits.many(band.size).astype(band.dtype).reshape(band.shape) << low
+            rows[some, a : last + 1] = band + np.where(band < 0, -step, step)
+            return
         step = np.zeros_like(band)
         step[there] = bits.many(int(there.sum())).astype(band.dtype) << low
         rows[some, a : last + 1] = band + np.sign(band) * step
@@ -273,7 +289,9 @@ def read_jpeg(data: bytes) -> dict:
             for p in parts:
                 p["stride"], p["rows"] = across * p["h"], down * p["v"]
                 p["own"] = -(-(-(-width * p["h"] // h)) // 8), -(-(-(-height * p["v"] // v)) // 8)
-                p["c"] = np.zeros((p["stride"] * p["rows"], 64), "int64")
+                p["c"] = np.zeros((p["stride"] * p["rows"], 64), "int32")
+                wide, tall = p["own"]
+                p["order"] = (np.arange(tall)[:, None] * p["stride"] + np.arange(wide)).ravel()
             info = {"height": height, "width": width, "h": h, "v": v, "parts": parts, "across": across, "down": down}
         elif marker in range(0xC0, 0xD0):
             raise ValueError("not a progressive JPEG")
@@ -296,9 +314,7 @@ def read_jpeg(data: bytes) -> dict:
 
 def read_scan(coded: bytes, chosen: list, tables: dict, first: int, last: int, high: int, low: int, restart: int, info: dict) -> None:
     if len(chosen) == 1:
-        p = chosen[0][0]
-        wide, tall = p["own"]
-        orders = [(np.arange(tall)[:, None] * p["stride"] + np.arange(wide)).ravel()]
+        orders = [chosen[0][0]["order"]]
         turns = len(orders[0])
     else:
         turns, orders = info["across"] * info["down"], []
@@ -319,29 +335,49 @@ def read_scan(coded: bytes, chosen: list, tables: dict, first: int, last: int, h
             dc_first(bits, [(p["c"], o, tables[t >> 4][0]) for (p, t), o in zip(chosen, some)], low)
         elif first == 0:
             if len(chosen) == 1:
-                chosen[0][0]["c"][some[0], 0] |= bits.many(len(some[0])).astype("int64") << low
+                chosen[0][0]["c"][some[0], 0] |= bits.many(len(some[0])).astype("int32") << low
             else:
                 for turn in range(len(some[0])):
                     for (p, _), o in zip(chosen, some):
-                        p["c"][o[turn], 0] |= bits.many(len(o[turn])).astype("int64") << low
+                        p["c"][o[turn], 0] |= bits.many(len(o[turn])).astype("int32") << low
         else:
             (ac_refine if high else ac_first)(bits, chosen[0][0]["c"], some[0], tables[16 | chosen[0][1] & 15], first, last, low)
 
 
+#: Blocks that are transformed at a time: so few that the library for matrices starts no threads, which would spin for each document.
+FEW = 64
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """x itself, as whole numbers from 0 to 255."""
+    x += 0.5 + 1e-7
+    np.floor(x, out=x)
+    return np.clip(x, 0, 255, out=x)
+
+
 def rgb_of(info: dict) -> np.ndarray:
     """height x width x 3 bytes: inverse transform, chroma repeated to full resolution, colours by the JFIF formulas."""
     planes = []
     for p in info["parts"]:
-        samples = (p["c"] * p["quant"]).astype(float) @ BASIS + 128
-        plane = samples.reshape(p["rows"], p["stride"], 8, 8).swapaxes(1, 2).reshape(p["rows"] * 8, -1)
-        plane = np.clip(np.floor(plane + 0.5 + 1e-7), 0, 255)
-        plane = plane.repeat(info["v"] // p["v"], 0).repeat(info["h"] // p["h"], 1)
-        planes.append(plane[: info["height"], : info["width"]])
+        scaled, samples = p["c"] * p["quant"].astype(float), np.empty((len(p["c"]), 64))
+        for at in range(0, len(scaled), FEW):
+            np.matmul(scaled[at : at + FEW], BASIS, out=samples[at : at + FEW])
+        samples += 128
+        planes.append(rounded(samples).reshape(p["rows"], p["stride"], 8, 8).swapaxes(1, 2).reshape(p["rows"] * 8, -1))
+
+    def full(plane: np.ndarray, p: dict) -> np.ndarray:
+        for times, axis in ((info["v"] // p["v"], 0), (info["h"] // p["h"], 1)):
+            plane = plane.repeat(times, axis) if times > 1 else plane
+        return plane[: info["height"], : info["width"]]
+
     if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, 2).astype("u1")
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
-    return np.clip(np.floor(rgb + 0.5 + 1e-7), 0, 255).astype("u1")
+        return np.repeat(full(planes[0], info["parts"][0])[:, :, None], 3, 2).astype("u1")
+    y, cb, cr = full(planes[0], info["parts"][0]), planes[1] - 128, planes[2] - 128
+    rgb = np.empty((*y.shape, 3))
+    rgb[:, :, 0] = y + full(1.402 * cr, info["parts"][2])
+    rgb[:, :, 1] = y - full(0.344136 * cb, info["parts"][1]) - full(0.714136 * cr, info["parts"][2])
+    rgb[:, :, 2] = y + full(1.772 * cb, info["parts"][1])
+    return rounded(rgb).astype("u1")
 
 
 def payload_of(info: dict) -> tuple[bytes, int]:
@@ -389,7 +425,7 @@ def decode_one(media: bytes | None) -> dict:
         rgb = rgb_of(found)
         payload = payload_of(found)[0] if found["comment"][:4] == TAG else None
         return {"payload": payload, "height": rgb.shape[0], "width": rgb.shape[1], "rgb": rgb.tobytes(), "error": None}
-    except (ValueError, KeyError, IndexError, TypeError, StopIteration, struct.error) as e:
+    except (ValueError, KeyError, IndexError, TypeError, StopIteration, OverflowError, struct.error) as e:
         return {"payload": None, "height": None, "width": None, "rgb": None, "error": f"{type(e).__name__}: {e}"[:200]}
 
 
@@ -416,7 +452,7 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 def store_tensors(decoded: DataFrame, path: str | None = None) -> DataFrame:
     """Write decoded rows with their tensors and read that table."""
-    return stage(decoded, "tensors", path, LEVEL, PAGE)
+    return stage(decoded, "tensors", path, TENSOR_LEVEL, PAGE)
 
 
 def with_feature(tensors: DataFrame) -> DataFrame:
