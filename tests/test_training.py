@@ -47,3 +47,12 @@ def test_search_measures_one_reading(spark):
     rows = spark.range(8).select(F.lit("numeric").alias("kind"), F.lit(1).alias("width"), F.encode(F.repeat(F.col("id").cast("string"), 40), "UTF-8").alias("content"))
     front = train.search_chains(rows.mapInArrow(count, rows.schema), population=6, generations=3)
     assert front and read.value == 8
+
+
+def test_orchestrated_training_gathers_chosen_chunks(spark, forty, monkeypatch):
+    """The table that training is given has the chunks that it takes, and no others."""
+    given = []
+    monkeypatch.setattr(q.train, "train", lambda df, graph, *rest, **named: (given.append(df), (graph, {}))[1])
+    q.orchestrated_training(spark, "")
+    ids = [r.chunk_id for r in given[0].select("chunk_id").collect()]
+    assert sorted(ids, key=str) == sorted({c for c, _, _ in plainly(forty, [], 16, ["l_partkey"])}, key=str)
