@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.plans import graph as g
@@ -169,3 +170,16 @@ def test_chunk_values(spark):
     rows = spark.createDataFrame([(0, bytearray(np.asarray([1, 2, 1 << 31], "<u4").tobytes())), (1, None)], "k long, content binary")
     out = g.chunk_values(rows, "content", ["k"], 4).orderBy("k", "place").collect()
     assert [tuple(r) for r in out] == [(0, 0, 1), (0, 1, 2), (0, 2, 1 << 31)]
+
+
+def test_chunk_values_by_some_chunks(spark, monkeypatch):
+    """A worker holds the numbers of a few chunks at a time, however many come in a batch."""
+    df, held = spark.createDataFrame([(0, b"")], "chunk_id long, content binary"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: held.append(run))
+    g.chunk_values(df, "content", ["chunk_id"], 4)
+    chunks = [RNG.integers(0, 1 << 32, n, dtype="u4") for n in RNG.integers(0, 50, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([c.tobytes() for c in chunks])], names=["chunk_id", "content"])
+    out = list(held[0](iter([batch])))
+    assert max(len(set(b["chunk_id"].to_pylist())) for b in out) <= g.ROWS
+    rows = [r for b in out for r in zip(*(b[c].to_pylist() for c in ("chunk_id", "place", "value")))]
+    assert rows == [(i, j, int(v)) for i, c in enumerate(chunks) for j, v in enumerate(c)]
