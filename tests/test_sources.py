@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.plans import graph as g
 from weft.plans import search, train
-from weft.sources import files, wire
+from weft.sources import files, text, wire
 
 SCHEMA = {1: ("id", "int64"), 2: ("name", "string"), 3: ("score", "sint64"), 4: ("packed", "uint64"), 5: ("inner", {1: ("x", "fixed32"), 2: ("more", "bytes")}), 6: ("d", "double")}
 
@@ -137,3 +137,17 @@ def test_orchestration(spark, chunks):
 def test_cluster_trainers(trainer):
     single, pair = {0: 10, 1: 10, 2: 5, 3: 7}, {(0, 1): 12, (0, 2): 16, (1, 2): 16, (2, 3): 11, (0, 3): 17}
     assert trainer(single, pair) == [[0, 1], [2, 3]] and train.full_split(single, pair) == [[0], [1], [2], [3]]
+
+
+@pytest.mark.parametrize("header", [True, False])
+def test_csv_lists(spark, header):
+    """The streams of each text in its own row are those of csv_dispatch, and give the texts again without a shuffle."""
+    texts = ['a,b\n1,"x,\ny"\n,\n', "one,line", 'h,"q"\n2,3', "h\n\n\n", "a,b,c\n1,2,3\n" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, content string")
+    lists = text.csv_split_lists(text.csv_token_lists(df, "content", ["key"]), ["key"], header)
+    back = text.csv_join_lists(lists, ["key"])
+    assert dict(map(tuple, back.collect())) == dict(enumerate(texts))
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    streams = text.csv_dispatch(text.csv_lex(df, "content", ["key"]), ["key"], header)
+    for name, rows in streams.items():
+        assert sorted(map(tuple, lists.select("key", F.inline(name)).collect())) == sorted(map(tuple, rows.collect()))

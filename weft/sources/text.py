@@ -61,7 +61,12 @@ def csv_fields(row: Column, separator: str = ",") -> Column:
 
 
 def csv_lex(files: DataFrame, content: str, keys: list[str], separator: str = ",", null_aware: bool = False) -> DataFrame:
-    """(keys, pos, row, col, kind, token) of whole texts, with built-in functions only; kinds are field, sep and newline.
+    """(keys, pos, row, col, kind, token): the tokens of csv_token_lists, a row each."""
+    return csv_token_lists(files, content, keys, separator, null_aware).select(*keys, F.inline("tokens"))
+
+
+def csv_token_lists(files: DataFrame, content: str, keys: list[str], separator: str = ",", null_aware: bool = False) -> DataFrame:
+    """(keys, tokens: pos, row, col, kind, token) of whole texts, with built-in functions only; kinds are field, sep and newline.
 
     The tokens in order are the text again. A quoted field runs to its closing quote and keeps its quotes. Only \\n ends a row,
     \\r stays in its field. Fields are tokens also where they are empty, but after a separator that ends the text. In
@@ -91,7 +96,8 @@ def csv_lex(files: DataFrame, content: str, keys: list[str], separator: str = ",
 
     even = F.forall(F.zip_with("_fields", "_ended", lambda f, ended: ~ended | (F.size(f) == F.size(F.get("_fields", F.lit(0))))), lambda x: x)
     sure = F.when(F.assert_true(even, F.lit("rows of unequal width")).isNull(), F.flatten(F.transform("_fields", tokens)))
-    return rows.select(*keys, F.posexplode(sure).alias("pos", "_t")).select(*keys, F.col("pos").cast("long").alias("pos"), "_t.*")
+    placed = F.transform(sure, lambda t, i: F.struct(i.cast("long").alias("pos"), *[t[c].alias(c) for c in ("row", "col", "kind", "token")]))
+    return rows.select(*keys, placed.alias("tokens"))
 
 
 def csv_dispatch(tokens: DataFrame, keys: list[str], header: bool = True) -> dict[str, DataFrame]:
@@ -111,6 +117,24 @@ def csv_collect(streams: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("content"))
 
 
+def csv_split_lists(lists: DataFrame, keys: list[str], header: bool = True) -> DataFrame:
+    """The streams of csv_dispatch as arrays of each text (keys, header, fields, separators) from csv_token_lists: nothing is shuffled or lexed again."""
+
+    def some(keep, **named: str) -> Column:
+        return F.transform(F.filter("tokens", keep), lambda t: F.struct(*[t[c].alias(n) for n, c in named.items()]))
+
+    body = lambda t: t["row"] > 0 if header else F.lit(True)
+    return lists.select(
+        *keys, some(lambda t: ~body(t), pos="pos", token="token").alias("header"), some(lambda t: body(t) & (t["kind"] == "field"), pos="pos", row="row", tag="col", field="token").alias("fields"),
+        some(lambda t: body(t) & (t["kind"] != "field"), pos="pos", token="token").alias("separators"))
+
+
+def csv_join_lists(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, content) again from the streams of csv_split_lists; a text without tokens is empty."""
+    fields = F.transform("fields", lambda t: F.struct(t["pos"].alias("pos"), t["field"].alias("token")))
+    return streams.select(*keys, F.sort_array(F.concat("header", fields, "separators")).alias("_all")).select(*keys, F.array_join(F.transform("_all", lambda t: t["token"]), "").alias("content"))
+
+
 def csv_melt(lines: DataFrame, line: str, keys: list[str], separator: str = ",") -> DataFrame:
     """(keys, col, field) of unquoted rows, one per line, with built-in functions only."""
     import re
