@@ -151,3 +151,20 @@ def test_csv_lists(spark, header):
     streams = text.csv_dispatch(text.csv_lex(df, "content", ["key"]), ["key"], header)
     for name, rows in streams.items():
         assert sorted(map(tuple, lists.select("key", F.inline(name)).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_token_lists(spark):
+    """The tokens of a message in its own row are those of message_tokens; fields and messages come from them without a shuffle."""
+    read = wire.protobuf(SCHEMA)
+    messages = [wire.protobuf_bytes(SCHEMA, {"id": i, "name": "n" * i, "packed": [1, i], "inner": {"x": i}}) for i in range(600)] + [b"", None]
+    df = spark.createDataFrame(list(enumerate(messages)), "key long, message binary")
+    lists = wire.token_lists(df, "message", ["key", "message"], read)
+    assert sorted(map(str, lists.select("key", F.inline("tokens")).collect())) == sorted(map(str, wire.message_tokens(df, "message", ["key"], read).collect()))
+    back = lists.select("key", "message", wire.message_bytes().alias("content"), wire.of_path("packed", "uint64", lambda t: t["number"]).alias("packed"))
+    for r in back.collect():
+        assert bytes(r.content) == (r.message or b"") and r.packed == ([1, r.key] if r.message else [])
+    from weft import queries_graphs
+
+    for query in (queries_graphs.protobuf_streams, queries_graphs.thrift_compact_streams, queries_graphs.thrift_binary_streams):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
