@@ -22,8 +22,8 @@ TAG = b"WEFT"
 #: Quantisation step of the pictures that hold payloads: any step keeps coefficients whole, but only the least one keeps
 #: samples within their range, so that tensors have what the transform gives and not black and white alone.
 QUANT = 1
-#: Level of zstd and bytes of a page of stored tables; tensors are nearly as large at high levels as at low ones.
-LEVEL, TENSOR_LEVEL, PAGE = 10, 3, 8 << 20
+#: Level of zstd and bytes of a page of stored tables; high levels take several times as long and make them little smaller.
+LEVEL, PAGE = 3, 8 << 20
 HEADER = ">4sQ"
 EOB_MOST = 32767
 #: Rows of units of 16 samples that a picture has at most.
@@ -452,7 +452,7 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 def store_tensors(decoded: DataFrame, path: str | None = None) -> DataFrame:
     """Write decoded rows with their tensors and read that table."""
-    return stage(decoded, "tensors", path, TENSOR_LEVEL, PAGE)
+    return stage(decoded, "tensors", path, LEVEL, PAGE)
 
 
 def with_feature(tensors: DataFrame) -> DataFrame:
