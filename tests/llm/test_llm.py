@@ -5,6 +5,7 @@ import base64
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -738,6 +739,46 @@ def test_media_table(docs):
     assert media_jpeg.store_texts(docs.limit(0)).count() == 0
 
 
+def test_tensors_of_one_part_at_a_time(docs, monkeypatch):
+    """Every tensor is stored, those of a part are gone before the next part's, and features are those of one part."""
+    whole = {(r.doc_id, r.feature) for r in media_jpeg.with_feature(media_jpeg.decode_media(media_jpeg.store_texts(docs))).collect()}
+    monkeypatch.setattr(media_jpeg, "PART_BYTES", 1)
+    monkeypatch.setattr(media_jpeg, "FILE_ROWS", 2)
+    held, store, rows = [], media_jpeg.store_tensors, []
+
+    def watched(decoded):
+        assert not any(Path(f.removeprefix("file://")).exists() for f in held)
+        out = store(decoded)
+        held.extend(out.inputFiles())
+        rows.append(out.where("rgb is not null").count())
+        return out
+
+    monkeypatch.setattr(media_jpeg, "store_tensors", watched)
+    out = media_jpeg.features_by_parts(media_jpeg.store_texts(docs), media_jpeg.decode_media).collect()
+    assert 1 < len(rows) <= media_jpeg.MOST_PARTS and sum(rows) == len(out) == docs.count() and max(rows) < len(out)
+    assert held and not any(Path(f.removeprefix("file://")).exists() for f in held)
+    assert {(r.doc_id, r.feature) for r in out} == whole
+    assert media_jpeg.features_by_parts(media_jpeg.store_texts(docs.limit(0)), media_jpeg.decode_media).count() == 0
+
+
+def test_pictures_written_together():
+    """Files of several sizes written at once, one with more blocks than a run of blocks has, are those written alone."""
+    rng = np.random.default_rng(4)
+    payloads = [(rng.integers(0, 256, 64 * n, "u1").tobytes(), 64 * n - 7) for n in (1, 6, 7, 50000, 13, 1)]
+    together = media_jpeg.write_payloads(payloads)
+    assert together == [media_jpeg.write_payload(*x) for x in payloads]
+    assert [media_jpeg.payload_of(media_jpeg.read_jpeg(x)) for x in together] == payloads
+    assert media_jpeg.write_payloads([]) == []
+
+
+def test_colours_by_formula():
+    """Sums of whole luma and rounded chroma are the rounded sums of the JFIF formulas, for every Cb and Cr."""
+    cb, cr = np.meshgrid(np.arange(256.0) - 128, np.arange(256.0) - 128, indexing="ij")
+    for y in (0, 1, 77, 128, 254, 255):
+        for plain, more in ((y + 1.402 * cr, media_jpeg.RED[None, :]), (y - 0.344136 * cb - 0.714136 * cr, media_jpeg.GREEN), (y + 1.772 * cb, media_jpeg.BLUE[:, None])):
+            assert (np.clip(np.floor(plain + 0.5 + 1e-7), 0, 255) == np.clip(y + more, 0, 255)).all()
+
+
 def test_chat_events(spark):
     rows = [
         (1, 1, "message", 0, "user", "hi"), (1, 2, "message", 1, "assistant", None), (1, 3, "delta", 1, None, "Hel"), (1, 4, "delta", 1, None, "lo"), (1, 4, "delta", 1, None, "lo"),

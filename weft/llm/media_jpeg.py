@@ -10,13 +10,15 @@ fill the luma plane, then the two chroma planes (4:2:0); a comment segment holds
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .coder import text_slices
-from .shared import binary, map_rows, stage, text_or_empty
+from .shared import file_groups, map_rows, remove, stage, text_or_empty
 
 TAG = b"WEFT"
 #: Quantisation step of the pictures that hold payloads: any step keeps coefficients whole, but only the least one keeps
@@ -24,6 +26,8 @@ TAG = b"WEFT"
 QUANT = 1
 #: Level of zstd and bytes of a page of stored tables; high levels take several times as long and make them little smaller.
 LEVEL, PAGE = 3, 8 << 20
+#: Rows of a file of stored media at most; bytes of media whose tensors are stored at a time at least, and how many such parts a table has at most.
+FILE_ROWS, PART_BYTES, MOST_PARTS = 4096, 32 << 20, 12
 HEADER = ">4sQ"
 EOB_MOST = 32767
 #: Rows of units of 16 samples that a picture has at most.
@@ -71,52 +75,84 @@ def bits_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (np.repeat(values, sizes) >> shift & 1).astype("u1")
 
 
+def aligned(bits: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """Stretches of bits of the given sizes, one after the other, each to bytes and filled up with ones."""
+    out, places, at, to = np.ones(sum(-(-n // 8) for n in sizes) * 8, "u1"), [], 0, 0
+    for n in sizes:
+        out[to : to + n] = bits[at : at + n]
+        at, to = at + n, to - (-n // 8) * 8
+        places.append(to // 8)
+    packed = np.packbits(out).tobytes()
+    return [packed[a:b] for a, b in zip([0, *places], places)]
+
+
+@lru_cache(1 << 16)
+def end_of_blocks(run: int) -> np.ndarray:
+    """Bits of the symbol for `run` blocks without new coefficients."""
+    extra = run.bit_length() - 1
+    return bits_of(np.asarray([extra << extra | run - (1 << extra)]), np.asarray([4 + extra]))
+
+
+JFIF = segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+CODES = b"".join([
+    huffman(0, 0, {4: list(range(9))}),  # DC: bits in the difference
+    huffman(1, 0, {1: [7]}),  # AC, first: no zero before, seven bits
+    huffman(1, 1, {4: [n << 4 for n in range(15)]}),  # AC, refined: runs of blocks without new coefficients
+])
+
+
 def write_payload(payload: bytes, n_bytes: int) -> bytes:
     """A progressive JPEG that holds payload (a multiple of 64 bytes)."""
-    blocks = len(payload) // 64
-    units = -(-blocks // 6)
-    wide = -(-units // HIGHEST)  # narrow pictures are filled but for the last row
-    high = -(-units // wide)
-    cells = np.zeros((6 * wide * high, 64), "u1")
-    cells[:blocks] = np.frombuffer(payload, "u1").reshape(-1, 64)
-    out = [
-        b"\xff\xd8",
-        segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"),
-        segment(0xFE, struct.pack(HEADER, TAG, n_bytes)),
-        segment(0xDB, bytes([0, *[QUANT] * 64])),
-        segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
-        huffman(0, 0, {4: list(range(9))}),  # DC: bits in the difference
-        huffman(1, 0, {1: [7]}),  # AC, first: no zero before, seven bits
-        huffman(1, 1, {4: [n << 4 for n in range(15)]}),  # AC, refined: runs of blocks without new coefficients
-    ]
-    later = []
-    at = 0
-    for number, count in ((1, 4 * wide * high), (2, wide * high), (3, wide * high)):
-        part = cells[at : at + count]
-        at += count
-        dc = part[:, 0].astype("int64")
-        dc = np.where(dc < 128, dc - 255, dc)
-        difference = np.diff(dc >> 1, prepend=0)
-        size = WIDTH[np.abs(difference)]
-        code = np.where(difference < 0, difference + (1 << size) - 1, difference)
-        out.append(scan(number, 0, 0, 0, 0, 1, pack_bits(bits_of(size << size | code, size + 4))))
-        out += [scan(number, 0, a, b, 0, 1, (part[:, a : b + 1] >> 1).tobytes()) for a, b in ((1, 5), (6, 63))]
-        later.append(scan(number, 0, 0, 0, 1, 0, pack_bits((dc & 1).astype("u1"))))
-        rest = part[:, 1:]
-        corrections, bits = (rest & 1) ^ (rest < 128), []
-        for start in range(0, count, EOB_MOST):
-            run = min(EOB_MOST, count - start)
-            extra = run.bit_length() - 1
-            bits += [bits_of(np.asarray([extra << extra | run - (1 << extra)]), np.asarray([4 + extra])), corrections[start : start + run].ravel()]
-        later.append(scan(number, 1, 1, 63, 1, 0, pack_bits(np.concatenate(bits))))
-    return b"".join([*out, *later, b"\xff\xd9"])
+    return write_payloads([(payload, n_bytes)])[0]
+
+
+def write_payloads(payloads: list[tuple[bytes, int]]) -> list[bytes]:
+    """write_payload of each; the planes of all pictures are coded together."""
+    if not payloads:
+        return []
+    shapes = []
+    for payload, _ in payloads:
+        units = -(-len(payload) // 384)
+        wide = -(-units // HIGHEST)  # narrow pictures are filled but for the last row
+        shapes.append((wide, -(-units // wide)))
+    cells = np.frombuffer(b"".join(x.ljust(384 * w * h, b"\0") for (x, _), (w, h) in zip(payloads, shapes)), "u1").reshape(-1, 64)
+    counts = [n for w, h in shapes for n in (4 * w * h, w * h, w * h)]  # blocks of each plane of each picture
+    starts = np.cumsum([0, *counts])
+    dc = cells[:, 0].astype("int64")
+    dc = np.where(dc < 128, dc - 255, dc)
+    difference = np.diff(dc >> 1, prepend=0)
+    difference[starts[:-1]] = dc[starts[:-1]] >> 1
+    size = WIDTH[np.abs(difference)]
+    code = np.where(difference < 0, difference + (1 << size) - 1, difference)
+    dc_first = aligned(bits_of(size << size | code, size + 4), np.add.reduceat(size + 4, starts[:-1]).tolist())
+    dc_refined = aligned((dc & 1).astype("u1"), counts)
+    low, rest = (cells[:, 1:6] >> 1).tobytes(), (cells[:, 6:] >> 1).tobytes()
+    corrections, bits, sizes = ((cells[:, 1:] & 1) ^ (cells[:, 1:] < 128)).ravel(), [], []
+    starts = starts.tolist()
+    for at, end in zip(starts, starts[1:]):
+        held = len(bits)
+        for start in range(at, end, EOB_MOST):
+            to = min(start + EOB_MOST, end)
+            bits += [end_of_blocks(to - start), corrections[start * 63 : to * 63]]
+        sizes.append(sum(map(len, bits[held:])))
+    ac_refined = aligned(np.concatenate(bits), sizes)
+    out = []
+    for i, ((_, n_bytes), (wide, high)) in enumerate(zip(payloads, shapes)):
+        first, later = [], []
+        for number, k in enumerate(range(3 * i, 3 * i + 3), 1):
+            at, end = starts[k], starts[k + 1]
+            first += [scan(number, 0, 0, 0, 0, 1, dc_first[k]), scan(number, 0, 1, 5, 0, 1, low[5 * at : 5 * end]), scan(number, 0, 6, 63, 0, 1, rest[58 * at : 58 * end])]
+            later += [scan(number, 0, 0, 0, 1, 0, dc_refined[k]), scan(number, 1, 1, 63, 1, 0, ac_refined[k])]
+        head = [b"\xff\xd8", JFIF, segment(0xFE, struct.pack(HEADER, TAG, n_bytes)), segment(0xDB, bytes([0, *[QUANT] * 64])), segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))]
+        out.append(b"".join([*head, CODES, *first, *later, b"\xff\xd9"]))
+    return out
 
 
 class Bits:
     """Entropy-coded data of one restart interval, bytes already freed of stuffing."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data + b"\xff\xff\xff\xff", 0
+        self.data, self.at = data + b"\xff" * 8, 0
 
     def take(self, n: int) -> int:
         if not n:
@@ -161,13 +197,19 @@ def dc_first(bits: Bits, blocks: list[tuple[np.ndarray, np.ndarray, list[int]]],
     """blocks: (coefficients, the blocks of them in the order of this scan, table) of each component, turn by turn of one block."""
     if len(blocks) == 1:
         coefficients, order, table = blocks[0]
-        last, out = 0, []
-        take, symbol = bits.take, bits.symbol
-        for _ in range(len(order)):
-            size = symbol(table)
-            last += extend(take(size), size)
+        last, out, data, at, number = 0, [], bits.data, bits.at, int.from_bytes
+        for _ in range(len(order)):  # as symbol() and take() do
+            word, used = number(data[at >> 3 : (at >> 3) + 6], "big"), at & 7
+            found = table[word >> (32 - used) & 0xFFFF]
+            size = found & 255
+            used += (found >> 8) + size
+            at += (found >> 8) + size
+            if size:
+                value = word >> (48 - used) & (1 << size) - 1
+                last += value if value >> size - 1 else value - (1 << size) + 1
             out.append(last << low)
-        coefficients[order, 0] = out
+        bits.at = at
+        coefficients[stretch(order), 0] = out
         return
     last = [0] * len(blocks)
     for turn in range(len(blocks[0][1])):
@@ -183,16 +225,24 @@ def stretch(order: np.ndarray) -> np.ndarray | slice:
     return slice(int(order[0]), int(order[-1]) + 1) if len(order) and order[-1] - order[0] == len(order) - 1 else order
 
 
+@lru_cache(16)
+def seven(low: int) -> np.ndarray:
+    """Coefficients by the byte that holds the bit of their code, which is zero, and their own seven."""
+    value = np.arange(256, dtype="int32")
+    return value - (value >> 6 == 0) * np.int32(127) << low
+
+
 def ac_first(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list[int], int | None], first: int, last: int, low: int) -> None:
     lookup, alone = table
     if alone is not None and alone >> 4 == 0 and alone:  # every coefficient of the band is there and has the same number of bits
         size, count = alone & 15, len(order) * (last - first + 1)
         if size == 7:  # a byte each
-            value = np.frombuffer(bits.data, "u1", count).astype("int32")
+            value = seven(low)[np.frombuffer(bits.data, "u1", count)]
         else:
             value = (bits.many(count * (1 + size)).reshape(count, 1 + size)[:, 1:].astype("int64") @ (1 << np.arange(size)[::-1])).astype("int32")
-        value -= (value >> size - 1 == 0) * np.int32((1 << size) - 1)
-        rows[stretch(order), first : last + 1] = (value << low).reshape(-1, last - first + 1)
+            value -= (value >> size - 1 == 0) * np.int32((1 << size) - 1)
+            value <<= low
+        rows[stretch(order), first : last + 1] = value.reshape(-1, last - first + 1)
         return
     run = 0
     for block in order.tolist():
@@ -220,11 +270,14 @@ def ac_refine(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list
         """One bit for each coefficient that is not zero."""
         some = stretch(some)
         band = rows[some, a : last + 1]
-        there = band != 0
-        if there.all():
-            step = bits.many(band.size).astype(band.dtype).reshape(band.shape) << low
-            rows[some, a : last + 1] = band + np.where(band < 0, -step, step)
+        if band.all():
+            step, sign = bits.many(band.size).astype(band.dtype).reshape(band.shape), band >> 31
+            step <<= low
+            step ^= sign  # the step or, for negative ones, less it
+            step -= sign
+            rows[some, a : last + 1] = np.add(band, step, out=step)
             return
+        there = band != 0
         step = np.zeros_like(band)
         step[there] = bits.many(int(there.sum())).astype(band.dtype) << low
         rows[some, a : last + 1] = band + np.sign(band) * step
@@ -255,11 +308,17 @@ def ac_refine(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list
         at += 1
 
 
+@lru_cache(256)
+def order_of(wide: int, tall: int, stride: int) -> np.ndarray:
+    """Places of a component's own blocks, row by row."""
+    return (np.arange(tall)[:, None] * stride + np.arange(wide)).ravel()
+
+
 def read_jpeg(data: bytes) -> dict:
     """Coefficient arrays (blocks x 64, zigzag order) of a progressive JPEG after all scans, with what is needed to show them."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, tables, quants, parts, comment, restart = 2, {}, {}, [], b"", 0
+    at, tables, quants, parts, by_id, comment, restart = 2, {}, {}, [], {}, b"", 0
     info: dict = {}
     while True:
         marker = data[at + 1]
@@ -284,20 +343,20 @@ def read_jpeg(data: bytes) -> dict:
         elif marker == 0xC2:
             _, height, width, count = struct.unpack(">BHHB", body[:6])
             parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(count)]
+            by_id = {p["id"]: p for p in reversed(parts)}
             h, v = max(p["h"] for p in parts), max(p["v"] for p in parts)
             across, down = -(-width // (8 * h)), -(-height // (8 * v))
             for p in parts:
                 p["stride"], p["rows"] = across * p["h"], down * p["v"]
                 p["own"] = -(-(-(-width * p["h"] // h)) // 8), -(-(-(-height * p["v"] // v)) // 8)
                 p["c"] = np.zeros((p["stride"] * p["rows"], 64), "int32")
-                wide, tall = p["own"]
-                p["order"] = (np.arange(tall)[:, None] * p["stride"] + np.arange(wide)).ravel()
+                p["order"] = order_of(*p["own"], p["stride"])
             info = {"height": height, "width": width, "h": h, "v": v, "parts": parts, "across": across, "down": down}
         elif marker in range(0xC0, 0xD0):
             raise ValueError("not a progressive JPEG")
         elif marker == 0xDA:
             n = body[0]
-            chosen = [(next(p for p in parts if p["id"] == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(n)]
+            chosen = [(by_id[body[1 + 2 * i]], body[2 + 2 * i]) for i in range(n)]
             first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
             end = at
             while True:  # to the next marker that is neither stuffing nor a restart
@@ -330,12 +389,12 @@ def read_scan(coded: bytes, chosen: list, tables: dict, first: int, last: int, h
     step = restart or turns
     for i, piece in enumerate(pieces):
         bits = Bits(piece.replace(b"\xff\x00", b"\xff"))
-        some = [o[i * step : (i + 1) * step] for o in orders]
+        some = [o[i * step : (i + 1) * step] for o in orders] if restart else orders
         if first == 0 and high == 0:
             dc_first(bits, [(p["c"], o, tables[t >> 4][0]) for (p, t), o in zip(chosen, some)], low)
         elif first == 0:
             if len(chosen) == 1:
-                chosen[0][0]["c"][some[0], 0] |= bits.many(len(some[0])).astype("int32") << low
+                chosen[0][0]["c"][stretch(some[0]), 0] |= bits.many(len(some[0])).astype("int32") << low
             else:
                 for turn in range(len(some[0])):
                     for (p, _), o in zip(chosen, some):
@@ -348,36 +407,51 @@ def read_scan(coded: bytes, chosen: list, tables: dict, first: int, last: int, h
 FEW = 64
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """x itself, as whole numbers from 0 to 255."""
-    x += 0.5 + 1e-7
-    np.floor(x, out=x)
-    return np.clip(x, 0, 255, out=x)
+#: What rounding adds before the fraction is cut off.
+HALF = 0.5 + 1e-7
+#: What chroma adds to luma, rounded, by Cr for red, by Cb and Cr for green, by Cb for blue: luma is whole, so sums are as if rounded themselves.
+_CHROMA = np.arange(256.0) - 128
+RED = np.floor(1.402 * _CHROMA + HALF).astype("int16")
+GREEN = np.floor(-0.344136 * _CHROMA[:, None] - 0.714136 * _CHROMA + HALF).astype("int16")
+BLUE = np.floor(1.772 * _CHROMA + HALF).astype("int16")
+
+
+def within_bytes(x: np.ndarray) -> np.ndarray:
+    """x itself, from 0 to 255."""
+    np.maximum(x, 0, out=x)
+    return np.minimum(x, 255, out=x)
 
 
 def rgb_of(info: dict) -> np.ndarray:
     """height x width x 3 bytes: inverse transform, chroma repeated to full resolution, colours by the JFIF formulas."""
-    planes = []
+    scaled = np.concatenate([p["c"] * p["quant"] for p in info["parts"]], dtype=float)
+    samples = np.empty_like(scaled)
+    for at in range(0, len(scaled), FEW):
+        np.matmul(scaled[at : at + FEW], BASIS, out=samples[at : at + FEW])
+    samples += 128 + HALF
+    whole, planes, at = within_bytes(samples).astype("u1"), [], 0
     for p in info["parts"]:
-        scaled, samples = p["c"] * p["quant"].astype(float), np.empty((len(p["c"]), 64))
-        for at in range(0, len(scaled), FEW):
-            np.matmul(scaled[at : at + FEW], BASIS, out=samples[at : at + FEW])
-        samples += 128
-        planes.append(rounded(samples).reshape(p["rows"], p["stride"], 8, 8).swapaxes(1, 2).reshape(p["rows"] * 8, -1))
+        found, at = whole[at : at + len(p["c"])], at + len(p["c"])
+        planes.append(found.reshape(p["rows"], p["stride"], 8, 8).swapaxes(1, 2).reshape(p["rows"] * 8, -1))
 
     def full(plane: np.ndarray, p: dict) -> np.ndarray:
         for times, axis in ((info["v"] // p["v"], 0), (info["h"] // p["h"], 1)):
             plane = plane.repeat(times, axis) if times > 1 else plane
         return plane[: info["height"], : info["width"]]
 
+    parts = info["parts"]
     if len(planes) == 1:
-        return np.repeat(full(planes[0], info["parts"][0])[:, :, None], 3, 2).astype("u1")
-    y, cb, cr = full(planes[0], info["parts"][0]), planes[1] - 128, planes[2] - 128
-    rgb = np.empty((*y.shape, 3))
-    rgb[:, :, 0] = y + full(1.402 * cr, info["parts"][2])
-    rgb[:, :, 1] = y - full(0.344136 * cb, info["parts"][1]) - full(0.714136 * cr, info["parts"][2])
-    rgb[:, :, 2] = y + full(1.772 * cb, info["parts"][1])
-    return rounded(rgb).astype("u1")
+        return np.repeat(full(planes[0], parts[0])[:, :, None], 3, 2)
+    y = full(planes[0], parts[0]).astype("int16")
+    if [parts[1][k] for k in "hv"] == [parts[2][k] for k in "hv"]:
+        green = full(GREEN[planes[1], planes[2]], parts[1])
+    else:
+        green = GREEN[full(planes[1], parts[1]), full(planes[2], parts[2])]
+    rgb = np.empty((*y.shape, 3), "u1")
+    for c, more in enumerate((full(RED[planes[2]], parts[2]), green, full(BLUE[planes[1]], parts[1]))):
+        more = more + y
+        rgb[:, :, c] = within_bytes(more)
+    return rgb
 
 
 def payload_of(info: dict) -> tuple[bytes, int]:
@@ -408,12 +482,12 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def make():
         def each(part):
             raw = [t.encode() for t in part["text"].to_pylist()]
-            return {"doc_id": part["doc_id"], "n_bytes": [len(t) for t in raw], "media": [write_payload(t.ljust(max(64, -(-len(t) // 64) * 64), b"\0"), len(t)) for t in raw]}
+            return {"doc_id": part["doc_id"], "n_bytes": [len(t) for t in raw], "media": write_payloads([(t.ljust(max(64, -(-len(t) // 64) * 64), b"\0"), len(t)) for t in raw])}
 
         return each
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    return stage(map_rows(texts, make, "doc_id long, n_bytes long, media binary", text_slices), "media", path, LEVEL, PAGE)
+    return stage(map_rows(texts, make, "doc_id long, n_bytes long, media binary", lambda batches: text_slices(batches, size=2 << 20)), "media", path, LEVEL, PAGE, FILE_ROWS)
 
 
 def decode_one(media: bytes | None) -> dict:
@@ -468,3 +542,20 @@ def with_feature(tensors: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", feature string"
     return map_rows(tensors, make, schema, lambda batches: text_slices(batches, "rgb", 8 << 20))
+
+
+def features_by_parts(media: DataFrame, decoded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """with_feature of the stored tensors of decoded(part), for parts of a staged table by its files, the one after the other.
+
+    Tensors of all values take four times what the texts take as Parquet. Every one is stored whole and read again, but those of
+    a part are deleted when its features are staged, so that disk holds one part's. Who wants to keep tensors calls
+    store_tensors. A table without rows gives none.
+    """
+    found = []
+    for part in file_groups(media, PART_BYTES, MOST_PARTS):
+        tensors = store_tensors(decoded(part))
+        try:
+            found.append(stage(with_feature(tensors), "features"))
+        finally:
+            remove(media.sparkSession, tensors)
+    return reduce(DataFrame.unionByName, found)

@@ -10,7 +10,7 @@ from . import chat_format, language_id, toxicity
 from .byte_bpe import decode_ids, encode_texts
 from .embedding_dedup import near_duplicates as near_vectors
 from .id_files import round_trip
-from .media_jpeg import decode_media, store_tensors, store_texts, with_feature
+from .media_jpeg import decode_media, features_by_parts, store_texts
 from .packing import pack_documents
 from .simhash import as_hex, near_duplicates
 from .token_counts import count_tokens
@@ -70,9 +70,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(table(spark, sf_dir, "documents"))
-    form = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    decoded = decode_media(form).select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "height", "width", "rgb")
-    return with_feature(store_tensors(decoded)).drop("height", "width")
+
+    def decoded(part: DataFrame) -> DataFrame:
+        form = part.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+        return decode_media(form).select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "height", "width", "rgb")
+
+    return features_by_parts(stored, decoded).drop("height", "width")
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,14 +50,17 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stage(df: DataFrame, name: str, path: str | None = None, level: int = 3, page: int = 1 << 20) -> DataFrame:
-    """Write df as Parquet in the shared folder, compressed by zstd at the given level in pages of about the given bytes, and read it again: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, path: str | None = None, level: int = 3, page: int = 1 << 20, file_rows: int = 0) -> DataFrame:
+    """Write df as Parquet in the shared folder, compressed by zstd at the given level in pages of about the given bytes, and read it again: cuts the lineage, survives lost executors.
+
+    file_rows: rows of a file at most, 0 for any number.
+    """
     spark = df.sparkSession
     if not path:
         path = new_path(spark, name)
         for held in _SCRATCH[-1:]:
             held.append(path)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,6 +75,19 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         delete(spark, folder)
 
 
+def file_groups(df: DataFrame, least: int, most: int) -> list[DataFrame]:
+    """The rows of a staged table in `most` tables at most, each of whole files of `least` bytes together, but for the last and where files are larger."""
+    spark, files = df.sparkSession, []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files += [(x.getPath().toString(), x.getLen()) for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if x.getPath().getName().endswith(".parquet")]
+    each, before, groups = max(least, -(-sum(n for _, n in files) // most)), 0, {}
+    for path, n in files:
+        groups.setdefault(before // each, []).append(path)
+        before += n
+    return [spark.read.schema(df.schema).parquet(*paths) for paths in groups.values()] if len(groups) > 1 else [df]
+
+
 def text_or_empty(df: DataFrame, text_col: str = "text"):
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
