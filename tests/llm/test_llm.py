@@ -2,14 +2,18 @@
 empty tables, and extra columns of clashing names."""
 
 import base64
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -771,11 +775,29 @@ def test_pictures_written_together():
     assert media_jpeg.write_payloads([]) == []
 
 
+def test_media_functions_need_no_package():
+    """What the functions of the media operator are pickled to writes and reads a picture where the package is not installed."""
+    from pyspark.cloudpickle import dumps
+
+    raw = bytes(range(256)) * 2
+
+    def there_and_back(raw=raw, write=media_jpeg.write_payloads, read=media_jpeg.decode_one, feature=media_jpeg.feature_of):
+        one = read(write([(raw, len(raw))])[0])
+        rgb = np.frombuffer(one["rgb"], "u1").reshape(one["height"], one["width"], 3)
+        return one["payload"] == raw and len(feature(rgb)) > 0
+
+    code = "import pickle, sys; sys.path[:] = [p for p in sys.path if p]; print(pickle.loads(sys.stdin.buffer.read())())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(Path(pyspark.__file__).parent.parent)}
+    out = subprocess.run([sys.executable, "-c", code], input=dumps(there_and_back), env=env, cwd="/", capture_output=True)
+    assert out.stdout.strip() == b"True", out.stderr.decode()[-400:]
+
+
 def test_colours_by_formula():
     """Sums of whole luma and rounded chroma are the rounded sums of the JFIF formulas, for every Cb and Cr."""
+    table = media_jpeg.colours()
     cb, cr = np.meshgrid(np.arange(256.0) - 128, np.arange(256.0) - 128, indexing="ij")
     for y in (0, 1, 77, 128, 254, 255):
-        for plain, more in ((y + 1.402 * cr, media_jpeg.RED[None, :]), (y - 0.344136 * cb - 0.714136 * cr, media_jpeg.GREEN), (y + 1.772 * cb, media_jpeg.BLUE[:, None])):
+        for plain, more in ((y + 1.402 * cr, table["red"][None, :]), (y - 0.344136 * cb - 0.714136 * cr, table["green"]), (y + 1.772 * cb, table["blue"][:, None])):
             assert (np.clip(np.floor(plain + 0.5 + 1e-7), 0, 255) == np.clip(y + more, 0, 255)).all()
 
 

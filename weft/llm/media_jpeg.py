@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,11 +86,20 @@ def aligned(bits: np.ndarray, sizes: list[int]) -> list[bytes]:
     return [packed[a:b] for a, b in zip([0, *places], places)]
 
 
-@lru_cache(1 << 16)
+#: What is made once a worker, in plain dictionaries, which functions can carry to executors.
+_ENDS: dict[int, np.ndarray] = {}
+_SEVEN: dict[int, np.ndarray] = {}
+_ORDERS: dict[tuple[int, int, int], np.ndarray] = {}
+_COLOURS: dict[str, np.ndarray] = {}
+
+
 def end_of_blocks(run: int) -> np.ndarray:
     """Bits of the symbol for `run` blocks without new coefficients."""
-    extra = run.bit_length() - 1
-    return bits_of(np.asarray([extra << extra | run - (1 << extra)]), np.asarray([4 + extra]))
+    found = _ENDS.get(run)
+    if found is None:
+        extra = run.bit_length() - 1
+        found = _ENDS[run] = bits_of(np.asarray([extra << extra | run - (1 << extra)]), np.asarray([4 + extra]))
+    return found
 
 
 JFIF = segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
@@ -225,11 +234,13 @@ def stretch(order: np.ndarray) -> np.ndarray | slice:
     return slice(int(order[0]), int(order[-1]) + 1) if len(order) and order[-1] - order[0] == len(order) - 1 else order
 
 
-@lru_cache(16)
 def seven(low: int) -> np.ndarray:
     """Coefficients by the byte that holds the bit of their code, which is zero, and their own seven."""
-    value = np.arange(256, dtype="int32")
-    return value - (value >> 6 == 0) * np.int32(127) << low
+    found = _SEVEN.get(low)
+    if found is None:
+        value = np.arange(256, dtype="int32")
+        found = _SEVEN[low] = value - (value >> 6 == 0) * np.int32(127) << low
+    return found
 
 
 def ac_first(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list[int], int | None], first: int, last: int, low: int) -> None:
@@ -308,10 +319,14 @@ def ac_refine(bits: Bits, rows: np.ndarray, order: np.ndarray, table: tuple[list
         at += 1
 
 
-@lru_cache(256)
 def order_of(wide: int, tall: int, stride: int) -> np.ndarray:
-    """Places of a component's own blocks, row by row."""
-    return (np.arange(tall)[:, None] * stride + np.arange(wide)).ravel()
+    """Places of a component's own blocks, row by row; few are kept, and none of large pictures."""
+    found = _ORDERS.get((wide, tall, stride))
+    if found is None:
+        found = (np.arange(tall)[:, None] * stride + np.arange(wide)).ravel()
+        if len(_ORDERS) < 1024 and len(found) < 4096:
+            _ORDERS[wide, tall, stride] = found
+    return found
 
 
 def read_jpeg(data: bytes) -> dict:
@@ -409,11 +424,15 @@ FEW = 64
 
 #: What rounding adds before the fraction is cut off.
 HALF = 0.5 + 1e-7
-#: What chroma adds to luma, rounded, by Cr for red, by Cb and Cr for green, by Cb for blue: luma is whole, so sums are as if rounded themselves.
-_CHROMA = np.arange(256.0) - 128
-RED = np.floor(1.402 * _CHROMA + HALF).astype("int16")
-GREEN = np.floor(-0.344136 * _CHROMA[:, None] - 0.714136 * _CHROMA + HALF).astype("int16")
-BLUE = np.floor(1.772 * _CHROMA + HALF).astype("int16")
+
+
+def colours() -> dict[str, np.ndarray]:
+    """What chroma adds to luma, rounded, by Cr for red, by Cb and Cr for green, by Cb for blue: luma is whole, so sums are as if rounded themselves."""
+    if not _COLOURS:
+        x = np.arange(256.0) - 128
+        made = {"red": 1.402 * x, "green": -0.344136 * x[:, None] - 0.714136 * x, "blue": 1.772 * x}
+        _COLOURS.update({k: np.floor(v + HALF).astype("int16") for k, v in made.items()})
+    return _COLOURS
 
 
 def within_bytes(x: np.ndarray) -> np.ndarray:
@@ -442,13 +461,13 @@ def rgb_of(info: dict) -> np.ndarray:
     parts = info["parts"]
     if len(planes) == 1:
         return np.repeat(full(planes[0], parts[0])[:, :, None], 3, 2)
-    y = full(planes[0], parts[0]).astype("int16")
+    y, table = full(planes[0], parts[0]).astype("int16"), colours()
     if [parts[1][k] for k in "hv"] == [parts[2][k] for k in "hv"]:
-        green = full(GREEN[planes[1], planes[2]], parts[1])
+        green = full(table["green"][planes[1], planes[2]], parts[1])
     else:
-        green = GREEN[full(planes[1], parts[1]), full(planes[2], parts[2])]
+        green = table["green"][full(planes[1], parts[1]), full(planes[2], parts[2])]
     rgb = np.empty((*y.shape, 3), "u1")
-    for c, more in enumerate((full(RED[planes[2]], parts[2]), green, full(BLUE[planes[1]], parts[1]))):
+    for c, more in enumerate((full(table["red"][planes[2]], parts[2]), green, full(table["blue"][planes[1]], parts[1]))):
         more = more + y
         rgb[:, :, c] = within_bytes(more)
     return rgb
